@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_count, fertility, license_scan, line_crf, packing, sharding, toxicity
+import corpus_pipeline
+from tessera.llm import bpe_count, decontaminate, fertility, license_scan, line_crf, packing, sharding, simhash, style_tree, toxicity
 from tessera.llm.common import documents
 
 
@@ -13,6 +14,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -21,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(documents(spark, sf_dir))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(documents(spark, sf_dir))
 
@@ -29,6 +38,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_quality(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -46,10 +59,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op2_toxicity": op2_toxicity, "op3_token_counts": op3_token_counts,
-        "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier,
-        "op8_packing": op8_packing, "op9_license_scan": op9_license_scan, "op10_sharding": op10_sharding,
-    }
+        "pipeline": corpus_pipeline.run,
+        "op1_decontamination": op1_decontamination,
+        "op2_toxicity": op2_toxicity,
+        "op3_token_counts": op3_token_counts,
+        "op4_near_duplicates": op4_near_duplicates,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_main_text": op7_main_text,
+        "op8_packing": op8_packing,
+        "op9_license_scan": op9_license_scan,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
