@@ -12,6 +12,7 @@ bucket is one number, and a whole text is scored from cumulative sums.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out, labelled_sample, map_batches, text_bytes
 
 #: Labelled documents that the model is fitted on at most.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 4000
 BUCKET_BITS, WIDTH, WINDOW, EPOCHS = 17, 10, 4, 8
 NGRAMS = (3, 4, 5, 6)
 #: Distinct words a worker remembers; past it the memory starts afresh.
@@ -96,22 +97,30 @@ class SubwordSoftmax:
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, batch: int = 32) -> SubwordSoftmax:
         """Each epoch scores the documents, takes each one's most toxic window, and descends on these windows, with Adagrad's step sizes."""
-        docs = [(words_of(t), int(label)) for t, label in zip(texts, y, strict=True)]
-        docs = [d for d in docs if d[0]]
-        if len({label for _, label in docs}) < 2:
-            self.offsets = np.array([0.0, 6.0 * (2 * (docs[0][1] if docs else 0) - 1)])
+        vocabulary: dict[bytes, int] = {}
+        ids, known = [], []  # words become numbers at once: the driver holds no lists of words
+        for text, label in zip(texts, y, strict=True):
+            if words := words_of(text):
+                ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)))
+                known.append(int(label))
+        labels = np.array(known, int)
+        if len(set(known)) < 2:
+            self.offsets = np.array([0.0, 6.0 * (2 * (known[0] if known else 0) - 1)])
             self._fold()
             return self
-        vocabulary: dict[bytes, int] = {}
-        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for ws, _ in docs]
-        lists = [buckets_of(w) for w in vocabulary]
-        sizes = np.array(list(map(len, lists)))
-        flat, starts = np.array([b for x in lists for b in x]), np.cumsum(sizes) - sizes
-        labels = np.array([label for _, label in docs])
+        numbers, counts = array("i"), array("i")
+        for w in vocabulary:
+            buckets = buckets_of(w)
+            numbers.extend(buckets)
+            counts.append(len(buckets))
+        n_words = len(vocabulary)
+        del vocabulary
+        flat, sizes = np.array(numbers), np.array(counts)
+        starts = np.cumsum(sizes) - sizes
         positive = labels.mean()
         cost = np.where(labels == 1, 0.5 / positive, 0.5 / (1 - positive))
         # The first windows are taken by each word's log-odds over documents: a start for the search.
-        hits = np.zeros((2, len(vocabulary)))
+        hits = np.zeros((2, n_words))
         for words, label in zip(ids, labels, strict=True):
             hits[label, np.unique(words)] += 1
         totals = np.bincount(labels, minlength=2)[:, None]
