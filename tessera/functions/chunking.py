@@ -55,7 +55,11 @@ def chunk_sentences(text: str, size: int = 512, overlap: int = 1) -> list[str]:
 def cosine_kmeans(vectors: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """Cluster numbers by cosine, seeds evenly spaced, means as centroids; an empty cluster keeps its centroid."""
     n = len(vectors)
-    unit = lambda m: np.divide(m, s, out=np.zeros_like(m), where=(s := np.linalg.norm(m, axis=1, keepdims=True)) > 0)
+
+    def unit(m):
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
     centroids, label = vectors[[i * n // k for i in range(k)]].astype(float), None
     for _ in range(rounds):
         new = (unit(vectors.astype(float)) @ unit(centroids).T).round(12).argmax(1)

@@ -90,8 +90,15 @@ def find_mentions_by_join(docs: DataFrame, entities: DataFrame, most_words: int
     names = entities.select("id", "kind", F.explode(F.concat(F.array(F.struct(F.col("label").alias("n"), F.lit(1.0).alias("c"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit(0.95).alias("c"))))).alias("x"))
     names = names.select(F.lower("x.n").alias("gram"), F.col("id").cast("string").alias("entity_id"), "kind", F.col("x.c").alias("confidence"))
     words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"), lambda w: w != "").alias("w"))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(-1)) if n == 1 else F.greatest(F.size("w") - n, F.lit(0))), lambda i, n=n: F.struct(i.cast("int").alias("start"), (i + n).cast("int").alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram"))) for n in range(1, most_words + 1)]))
-    return words.where(F.size("w") > 0).select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*").distinct().join(names, "gram").select("doc_id", "start", "end", "entity_id", "kind", "confidence")
+
+    def grams(n: int):
+        places = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return words.where(F.size("w") >= n).select("doc_id", F.explode(F.transform(places, lambda i: F.struct((i - 1).cast("int").alias("start"), (i + n - 1).cast("int").alias("end"), F.array_join(F.slice("w", i, n), " ").alias("gram")))).alias("g"))
+
+    every = grams(1)
+    for n in range(2, most_words + 1):
+        every = every.unionByName(grams(n))
+    return every.select("doc_id", "g.*").join(names, "gram").select("doc_id", "start", "end", "entity_id", "kind", "confidence")
 
 
 def scan_temporal(docs: DataFrame, custom: list[str] = ()) -> DataFrame:
