@@ -129,7 +129,7 @@ class SubwordSoftmax:
         seen = [np.zeros_like(a) for a in (self.softmax, self.offsets, self.embeddings)]  # squared gradients so far
         for epoch in range(epochs):
             windows = [words[(at := best_window(values[words])[1]) : at + WINDOW] for words in ids]
-            order = self.rng.permutation(len(docs))
+            order = self.rng.permutation(len(ids))
             step = rate * (1 - epoch / epochs)
             for at in range(0, len(order), batch):
                 some = order[at : at + batch]
