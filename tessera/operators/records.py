@@ -191,9 +191,10 @@ def temporal_relations(events: DataFrame) -> DataFrame:
     order = Window.orderBy("at", "id")
     rows = events.withColumn("c", base)
     follow = rows.select("id", "at", "c", F.lead("id").over(order).alias("n"), F.lead("at").over(order).alias("n_at"), F.lead("c").over(order).alias("n_c")).where("n is not null")
-    same = F.col("n_at").cast("long") - F.col("at").cast("long") <= 86_400
+    seconds = lambda c: F.col(c).cast("timestamp").cast("long")
+    same = seconds("n_at") - seconds("at") <= 86_400
     pairs = follow.select(F.col("id").alias("source"), F.col("n").alias("target"), F.when(same, "CONCURRENT").otherwise("PRECEDES").alias("type"), (F.least("c", "n_c") * F.when(same, 0.9).otherwise(1.0)).alias("confidence"))
-    day = lambda c: F.floor(F.col(c).cast("long") / 86_400)
+    day = lambda c: F.floor(seconds(c) / 86_400)
     spans = rows.where("until is not null").withColumn("_d", F.explode(F.sequence(day("at"), day("until"))))
     inner = rows.select(F.col("id").alias("i"), F.col("at").alias("i_at"), F.coalesce("until", "at").alias("i_until"), F.col("c").alias("i_c"), day("at").alias("_d"))
     during = spans.join(inner, "_d").where((F.col("i") != F.col("id")) & (F.col("i_at") >= F.col("at")) & (F.col("i_until") <= F.col("until"))).select(F.col("i").alias("source"), F.col("id").alias("target"), F.lit("DURING").alias("type"), (F.least("c", "i_c") * 0.85).alias("confidence"))
