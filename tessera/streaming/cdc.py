@@ -81,7 +81,7 @@ def versions(deltas: DataFrame, key: str = "id") -> DataFrame:
     return deltas.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy("ts", "seq")))
 
 
-def coalesce_stream(deltas: DataFrame, timeout: str = "ProcessingTimeTimeout") -> DataFrame:
+def coalesce_stream(deltas: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
     """The fold as keyed state of a stream, update mode: each micro-batch gives every touched key's delta so far."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
