@@ -28,8 +28,9 @@ from tessera.llm.common import map_batches, materialize, text_bytes
 SEEDS = ("1111111", "11101001011", "110010100111", "1010110100101")
 #: An overlap needs this many equal tokens, or fewer that are half of the item; and this share of its length equal.
 MIN_TOKENS, LEAST_TOKENS, MIN_ITEM, MIN_SHARE = 13, 8, 0.5, 0.8
-#: Bits of the bitmap: 2 MB.
+#: Bits of the bitmap: 2 MB.  A hash sets the bits that three parts of it name.
 BITMAP_BITS = 24
+_PARTS = (np.uint64(40), np.uint64(16), np.uint64(0))
 #: Distinct words a worker remembers; past it the memory starts afresh.
 CACHE_WORDS = 600_000
 #: Rows of benchmark hashes up to which the join may broadcast them: 24 MB.
@@ -82,6 +83,11 @@ def seed_hashes(tokens: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def bitmap_places(keys: np.ndarray) -> list[np.ndarray]:
+    """The three bits of each hash."""
+    return [(keys >> shift) & np.uint64((1 << BITMAP_BITS) - 1) for shift in _PARTS]
+
+
 def benchmark_hashes(benchmark: DataFrame) -> DataFrame:
     """item_id, n_tokens, tokens, hash, tpos: a row per seed and place of every item."""
 
@@ -110,7 +116,8 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     def run(batches):
         bits = np.zeros(1 << BITMAP_BITS, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
+            for places in bitmap_places(batch.column(0).to_numpy().view(np.uint64)):
+                bits[places] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     whole = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
@@ -131,7 +138,9 @@ def _stretches(docs: DataFrame, bitmap, longest: int) -> DataFrame:
                 own = _tokens().of(text)
                 at, keys = [], []
                 for places, hashes in seed_hashes(own):
-                    there = bits[hashes >> np.uint64(64 - BITMAP_BITS)]
+                    there = np.flatnonzero(bits[bitmap_places(hashes)[0]])
+                    _, second, third = bitmap_places(hashes[there])
+                    there = there[bits[second] & bits[third]]
                     at.append(places[there])
                     keys.append(hashes[there])
                 at, keys = np.concatenate(at), np.concatenate(keys)
