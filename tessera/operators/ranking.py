@@ -25,6 +25,12 @@ def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segment
         F.count("*").alias("tf"), F.bit_or(R.segment_bit(F.col("pos"), F.col("field_length"), segments)).alias("mask"))
 
 
+def field_lengths(docs: DataFrame, key: str, fields: dict[str, Column], tokenizer=tokenize) -> DataFrame:
+    """(key, field, field_length) of fields with a token, without exploding them: what a search needs of the whole corpus."""
+    sizes = F.array(*[F.struct(F.lit(n).alias("field"), F.size(tokenizer(c)).alias("field_length")) for n, c in fields.items()])
+    return docs.select(key, F.explode(sizes).alias("s")).select(key, "s.*").where("field_length > 0")
+
+
 def update_postings(postings: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Documents in ``changed`` replace their old postings."""
     return remove_documents(postings, changed.select(key), key).unionByName(changed)
@@ -44,9 +50,8 @@ def prune_stats(stats: DataFrame, least_df: int) -> DataFrame:
     return stats.where(F.col("df") >= least_df)
 
 
-def corpus_stats(postings: DataFrame, key: str) -> DataFrame:
+def corpus_stats(lengths: DataFrame, key: str) -> DataFrame:
     """One row: total documents and average length, and averages by field as a map."""
-    lengths = postings.select(key, "field", "field_length").distinct()
     total = lengths.agg(F.countDistinct(key).alias("total"))
     fields = lengths.groupBy("field").agg(F.sum("field_length").alias("s"))
     averages = fields.crossJoin(F.broadcast(total)).agg(
@@ -61,18 +66,20 @@ def _query_frame(postings: DataFrame, terms: list[str], weights: list[float] | N
     return spark.range(1).select(F.posexplode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("boost")) for t, w in zip(terms, weights, strict=True)])).alias("ord", "q")).select("ord", "q.*")
 
 
-def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strategy: str = "global", entropy: bool = False, similarity: bool = False, phrase: bool = True, boosts: list[float] | None = None, options: dict | None = None) -> DataFrame:
+def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strategy: str = "global", entropy: bool = False, similarity: bool = False, phrase: bool = True, boosts: list[float] | None = None, options: dict | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """Every document with a query term, its score and how it came about.
 
     strategy: 'global', 'idf', 'per_term', 'pairwise' or 'none' proximity.  A
     query of one term takes the short formula: no proximity, no phrase; with
-    entropy on, the term's entropy counts as 1.
+    entropy on, the term's entropy counts as 1.  ``lengths`` are the corpus's
+    field lengths, read from the postings if not given.
     """
     o = R.DEFAULTS | (options or {})
     seg, single = o["segments"], len(terms) == 1
     query = F.broadcast(_query_frame(postings, terms, boosts))
-    hits = postings.join(query, "term")
-    corpus = F.broadcast(corpus_stats(postings, key))
+    hits = postings.where(F.col("term").isin(terms)).join(query, "term")  # the filter goes below the postings' aggregation
+    lengths = postings.select(key, "field", "field_length").distinct() if lengths is None else lengths
+    corpus = F.broadcast(corpus_stats(lengths, key))
     per_doc_df = hits.groupBy("term", key).agg(F.sum("tf").alias("tf"))
     stats = per_doc_df.groupBy("term").agg(F.count("*").alias("df"), F.sum(R.entropy_part(F.col("tf"))).alias("raw_entropy"))
     stats = stats.withColumn("norm_entropy", F.lit(1.0) if single else F.col("raw_entropy") / F.greatest(F.max("raw_entropy").over(Window.partitionBy()), F.lit(1e-9)))
@@ -85,11 +92,11 @@ def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strateg
     per_term = base.groupBy(key, "ord", "term", "boost", "df", "norm_entropy", "total", "average").agg(
         F.sum(weight * ntf).alias("s"), F.bit_or("mask").alias("mask"), F.sum("field_length").alias("length"))
     per_term = per_term.withColumn("idf", R.idf(F.col("total"), F.col("df"))).withColumn("part", F.col("boost") * F.col("idf") * R.saturate(F.col("s"), o["k1"]))
-    lengths = postings.select(key, "field", "field_length").distinct().groupBy(key).agg(F.sum("field_length").alias("doc_length"))
+    totals = lengths.groupBy(key).agg(F.sum("field_length").alias("doc_length"))
     ordered = F.sort_array(F.collect_list(F.struct("ord", "term", "mask", "idf", "part")))
     per_doc = per_term.groupBy(key, "total", "average").agg(
         F.sum("part").alias("base"), F.bit_and("mask").alias("common"), F.count("*").alias("matched"), F.avg("idf").alias("avg_idf"),
-        F.sum("norm_entropy").alias("sum_entropy"), ordered.alias("terms")).join(lengths, key)
+        F.sum("norm_entropy").alias("sum_entropy"), ordered.alias("terms")).join(totals, key)
     masks = F.transform("terms", lambda t: t["mask"])
     prox = R.proximity(F.col("common"), F.col("matched"), F.col("doc_length"), F.col("average"), o["alpha"], o["lambda"], seg)
     total = F.col("base")

@@ -15,9 +15,16 @@ TERMS = ["with", "ther", "ering"]
 TITLE = "split_part(text, chr(10), 1)"
 
 
+def _fields():
+    return {"title": F.substring_index("text", "\n", 1), "content": F.col("text")}
+
+
 def postings(t):
-    docs = t.documents.withColumn("title", F.substring_index("text", "\n", 1))
-    return R.build_postings(docs, "doc_id", {"title": F.col("title"), "content": F.col("text")})
+    return R.build_postings(t.documents, "doc_id", _fields())
+
+
+def lengths(t):
+    return R.field_lengths(t.documents, "doc_id", _fields())
 
 
 _POST = rf"""f AS (SELECT doc_id, 'title' AS field, {TITLE} AS body FROM documents UNION ALL SELECT doc_id, 'content', text FROM documents),
@@ -96,47 +103,47 @@ def b_remap(t):
 
 @query("b_search_bm25f_proximity", _score_sql(TERMS))
 def b_search(t):
-    return _top(R.search(postings(t), TERMS, 20))
+    return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t)))
 
 
 @query("b_search_single_term", _score_sql(TERMS[:1]))
 def b_single(t):
-    return _top(R.search(postings(t), TERMS[:1], 20))
+    return _top(R.search(postings(t), TERMS[:1], 20, lengths=lengths(t)))
 
 
 @query("b_search_idf_proximity", _score_sql(TERMS, multiplier="CASE WHEN matched < 2 THEN 1.0 ELSE 1 + 0.5 * (bit_count(common) / least(matched, 16)) * exp(-0.5 * dl / average) * (1 + avg_idf / 5) END"))
 def b_idf(t):
-    return _top(R.search(postings(t), TERMS, 20, strategy="idf"))
+    return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), strategy="idf"))
 
 
 @query("b_search_pairwise_proximity", _score_sql(TERMS, multiplier="1 + CASE WHEN len(masks) < 2 THEN 0 WHEN len(masks) = 2 THEN 0.5 * bit_count(masks[1] & masks[2]) / 16 ELSE 0.5 * (bit_count(masks[1] & masks[2]) + bit_count(masks[1] & masks[3]) + bit_count(masks[2] & masks[3])) / 16 / 3 END"))
 def b_pairwise(t):
-    return _top(R.search(postings(t), TERMS, 20, strategy="pairwise"))
+    return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), strategy="pairwise"))
 
 
 @query("b_search_entropy_similarity", _score_sql(TERMS, gamma="0.5 * ne", extra="1 / ln(1 + total) * (matched / 3.0) * sum_entropy"))
 def b_entropy(t):
-    return _top(R.search(postings(t), TERMS, 20, entropy=True, similarity=True))
+    return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), entropy=True, similarity=True))
 
 
 @query("b_search_per_term_proximity")
 def b_per_term(t):
-    return _top(R.search(postings(t), TERMS, 20, strategy="per_term"))
+    return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), strategy="per_term"))
 
 
 @query("b_search_normalized", f"SELECT doc_id, round(score / max(score) OVER (), 4) AS normalized FROM ({_score_sql(TERMS)})")
 def b_norm(t):
-    return R.search_normalized(postings(t), TERMS, 20).select("doc_id", F.round("normalized", 4).alias("normalized"))
+    return R.search_normalized(postings(t), TERMS, 20, lengths=lengths(t)).select("doc_id", F.round("normalized", 4).alias("normalized"))
 
 
 @query("b_search_augmented")
 def b_augmented(t):
-    return _top(R.search(postings(t), [*TERMS, "ther"], 20, boosts=[1.0, 1.0, 1.0, 0.3]))
+    return _top(R.search(postings(t), [*TERMS, "ther"], 20, lengths=lengths(t), boosts=[1.0, 1.0, 1.0, 0.3]))
 
 
 @query("b_explain")
 def b_explain(t):
-    return R.search(postings(t), TERMS, 5).select("doc_id", "base", "proximity", "phrase", "coverage", F.inline("terms")).select("doc_id", "term", "mask", F.round("idf", 6).alias("idf"), F.round("part", 6).alias("part"))
+    return R.search(postings(t), TERMS, 5, lengths=lengths(t)).select("doc_id", "base", "proximity", "phrase", "coverage", F.inline("terms")).select("doc_id", "term", "mask", F.round("idf", 6).alias("idf"), F.round("part", 6).alias("part"))
 
 
 @query("b_incremental_scores", f"SELECT doc_id, round(score, 4) AS score FROM ({_score_sql(TERMS, multiplier='1.0')}) WHERE phrase = 1.0 AND false")
