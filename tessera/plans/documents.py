@@ -146,11 +146,11 @@ def b_explain(t):
     return R.search(postings(t), TERMS, 5, lengths=lengths(t)).select("doc_id", "base", "proximity", "phrase", "coverage", F.inline("terms")).select("doc_id", "term", "mask", F.round("idf", 6).alias("idf"), F.round("part", 6).alias("part"))
 
 
-@query("b_incremental_scores", f"SELECT doc_id, round(score, 4) AS score FROM ({_score_sql(TERMS, multiplier='1.0')}) WHERE phrase = 1.0 AND false")
+@query("b_incremental_scores", _score_sql(TERMS, multiplier="1.0").rsplit("SELECT doc_id, round(proximity", 1)[0] + "SELECT doc_id, round(base, 5) AS score FROM g")
 def b_incremental(t):
     from tessera.streaming.cdc import running_scores
 
-    return running_scores(R.accumulate(postings(t), TERMS)).select("doc_id", F.round("score", 4).alias("score")).where("score < 0")
+    return running_scores(R.accumulate(postings(t), TERMS)).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("b_match_boolean", f"WITH {_POST}, d AS (SELECT doc_id, list(DISTINCT term) AS ts FROM p GROUP BY 1) SELECT doc_id FROM d WHERE list_contains(ts, 'the') AND NOT list_contains(ts, 'was') AND (list_contains(ts, 'ering') OR len(list_filter(ts, lambda x: starts_with(x, 'thion'))) > 0)")

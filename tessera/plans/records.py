@@ -227,10 +227,10 @@ def n_folder(t):
     return R.tree_relations(t.nation.select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent_id")))
 
 
-@query("n_span_log_lookup", "SELECT l_orderkey AS doc_id, l_partkey AS entity_id FROM lineitem WHERE l_orderkey = 33 AND l_linenumber * 10 <= 25 AND l_linenumber * 10 + 8 > 25")
+@query("n_span_log_lookup", "SELECT l_orderkey AS doc_id, l_partkey AS entity_id FROM lineitem WHERE l_orderkey = 10003 AND l_linenumber * 10 <= 25 AND l_linenumber * 10 + 8 > 25")
 def n_span(t):
     s = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("entity_id"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 8).alias("end"))
-    return R.entity_at(s, 33, 25).select("doc_id", "entity_id")
+    return R.entity_at(s, 10003, 25).select("doc_id", "entity_id")
 
 
 @query("n_relationship_graph_nodes", "SELECT CAST(l_suppkey AS VARCHAR) AS node FROM lineitem UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem")

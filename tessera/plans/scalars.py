@@ -56,9 +56,9 @@ def f_name(t):
     return t.part.where(P.name_contains("p_name", "AN")).select("p_partkey", "p_name")
 
 
-@query("f_name_or_alias_substring", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'tin') OR len(list_filter(string_split(p_type, ' '), lambda x: contains(lower(x), 'tin'))) > 0")
+@query("f_name_or_alias_substring", "SELECT p_partkey FROM part WHERE contains(lower(p_name), '2') OR len(list_filter(string_split(p_brand, '#'), lambda x: contains(lower(x), '2'))) > 0")
 def f_alias(t):
-    return t.part.withColumn("aliases", F.split("p_type", " ")).where(P.name_contains("p_name", "tin", "aliases")).select("p_partkey")
+    return t.part.withColumn("aliases", F.split("p_brand", "#")).where(P.name_contains("p_name", "2", "aliases")).select("p_partkey")
 
 
 @query("f_time_range", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
