@@ -13,6 +13,7 @@ that pass are moved, and the join decides.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -165,25 +166,28 @@ def _stretches(docs: DataFrame, bitmap, longest: int) -> DataFrame:
 
 
 def best_run(equal: np.ndarray, item: int) -> tuple[int, int, int]:
-    """(equal tokens, length, start) of the longest verified overlap, or zeros.
+    """(equal tokens, length, start) of the verified overlap with the most equal tokens, or zeros.
 
-    Runs that begin and end on equal tokens are grown greedily: the run with
-    the largest sum of +1 for an equal token and -MIN_SHARE / (1 - MIN_SHARE)
-    for another is the one whose every end is worth keeping.
+    Every run that begins and ends on an equal token is looked at: from the
+    i-th to the j-th equal token, at places p, the share is enough if v_j >=
+    v_i - k, where v = n * i - d * p for the share d / n and k = n - d.  The
+    farthest i of each j is found in the running minimum of v.  Of equally many
+    tokens the shortest and then the first run counts.
     """
-    if not equal.any():
+    places = np.flatnonzero(equal)
+    if not len(places):
         return 0, 0, 0
-    worth = np.where(equal, 1.0, -MIN_SHARE / (1 - MIN_SHARE))
-    sums = np.concatenate([[0.0], np.cumsum(worth)])
-    low = np.minimum.accumulate(sums[:-1])
-    end = int((sums[1:] - low).argmax())
-    start = int(np.flatnonzero(sums[: end + 1] == low[end])[-1])
-    n, length = int(equal[start : end + 1].sum()), end + 1 - start
-    whole = int(equal.sum())
-    if whole >= MIN_SHARE * item and len(equal) >= item:  # most of the item, scattered substitutions
-        n, length, start = whole, len(equal), 0
-    enough = n >= MIN_TOKENS or n >= min(LEAST_TOKENS, item) and n >= MIN_ITEM * item
-    return (n, length, start) if enough and n >= MIN_SHARE * length else (0, 0, 0)
+    share = Fraction(str(MIN_SHARE))
+    v = share.denominator * np.arange(len(places)) - share.numerator * places
+    first = np.searchsorted(-np.minimum.accumulate(v), -(v + share.denominator - share.numerator))
+    counts = np.arange(len(places)) - first + 1
+    n = int(counts.max())
+    if not (n >= MIN_TOKENS or n >= min(LEAST_TOKENS, item) and n >= MIN_ITEM * item):
+        return 0, 0, 0
+    ends = np.flatnonzero(counts == n)
+    lengths = places[ends] - places[first[ends]] + 1
+    best = int(lengths.argmin())
+    return n, int(lengths[best]), int(places[first[ends[best]]])
 
 
 def _verify(batches):

@@ -137,6 +137,39 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.find_overlaps(odd_docs, bench.limit(0)).count() == 0
 
 
+def every_run(equal, item):
+    """(equal tokens, length, start) by the rule, over all starts and ends."""
+    best = (0, 0, 0)
+    for a in range(len(equal)):
+        for b in range(a, len(equal)):
+            n, length = sum(equal[a : b + 1]), b + 1 - a
+            enough = n >= 13 or n >= min(8, item) and 2 * n >= item
+            if equal[a] and equal[b] and enough and 5 * n >= 4 * length and (n, -length, -a) > (best[0], -best[1], -best[2]):
+                best = (n, length, a)
+    return best
+
+
+def test_best_run_misses_no_run():
+    rng = np.random.default_rng(5)
+    for size, copied in ((59, 40), (59, 30), (40, 25), (25, 25), (12, 9), (5, 5)):
+        for rate in (0.1, 0.15, 0.2, 0.3):
+            for _ in range(25):
+                equal = np.arange(size) < copied
+                equal &= rng.random(size) > rate
+                equal = np.roll(equal, rng.integers(0, size - copied + 1))
+                assert decontaminate.best_run(equal, size) == every_run(equal.tolist(), size)
+    assert decontaminate.best_run(np.zeros(0, bool), 9) == (0, 0, 0)
+
+
+def test_every_fifth_token_replaced_in_part_of_an_item(spark):
+    words = [f"w{i}" for i in range(59)]
+    part = [f"zz{i}" if i % 5 == 4 else w for i, w in enumerate(words[:40])]
+    docs = spark.createDataFrame([(1, " ".join([f"a{i}" for i in range(30)] + part + [f"b{i}" for i in range(30)]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = decontaminate.find_overlaps(docs, bench).collect()
+    assert [(r["matched"], r["length"], r["start"]) for r in got] == [(32, 39, 30)]
+
+
 # -- licenses --------------------------------------------------------------------------
 
 
