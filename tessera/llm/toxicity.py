@@ -16,6 +16,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +28,38 @@ BUCKET_BITS, WIDTH, WINDOW, EPOCHS = 17, 10, 4, 8
 NGRAMS = (3, 4, 5, 6)
 #: Distinct words a worker remembers; past it the memory starts afresh.
 CACHE_WORDS = 600_000
-_EDGES = b".,!?;:()[]{}\"'*$%&#|<>=-_~`/\\"
+#: Bytes of a word up to which it is whole; longer ones become pieces of so many characters, so far apart; of unspaced scripts, all past a piece.
+WHOLE_BYTES, PIECES, UNSPACED_PIECES = 64, (16, 8), (8, 3)
+#: Bytes of a white-space word up to which it is remembered, and pieces that are hashed at once.
+CACHE_BYTES, BLOCK = 256, 4096
+_EDGES = ".,!?;:()[]{}\"'*$%&#|<>=-_~`/\\"
+_JOINTS = regex.compile(r"[\s\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pc}/\\|.,;:?\"<>=~&\u201d\u00bb\u2026\u3001\u3002\uff0c\uff0e\uff01\uff1f\uff1b\uff1a\u30fb]+")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+
+
+def pieces_of(chunk: bytes) -> list[bytes]:
+    """Words in a white-space word, with edge marks: parted at Unicode white space and joining punctuation, long or unspaced ones in overlapping pieces."""
+    if chunk.isalnum() and len(chunk) <= WHOLE_BYTES:
+        return [b"<" + chunk + b">"]
+    text, out = chunk.decode("utf-8", "replace"), []
+    for part in list(filter(None, (p.strip(_EDGES) for p in _JOINTS.split(text)))) or [text]:
+        core = f"<{part}>"
+        unspaced = _UNSPACED.search(part)
+        size, step = UNSPACED_PIECES if unspaced else PIECES
+        if len(core) > size and (unspaced or len(part.encode()) > WHOLE_BYTES):
+            out += (core[at : at + size].encode() for at in range(0, len(core) - size + step, step))
+        else:
+            out.append(core.encode())
+    return out
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; punctuation stays for the buckets to strip."""
-    return text.lower().split()
+    """Words of a text, A-Z lower-cased, as ``pieces_of`` has them."""
+    return [p for chunk in text.lower().split() for p in pieces_of(chunk)]
 
 
-def buckets_of(word: bytes) -> list[int]:
-    """Buckets of a word: itself and its n-grams with edge marks, punctuation around it dropped."""
-    core = b"<" + (word.strip(_EDGES) or word) + b">"
-    if len(core) > 66:
-        core = core[:33] + core[-33:]  # a very long word is known by its ends
+def buckets_of(core: bytes) -> list[int]:
+    """Buckets of a word: itself and its n-grams."""
     mask, crc = (1 << BUCKET_BITS) - 1, zlib.crc32
     if core.isascii():
         return [crc(core) & mask, *(crc(core[i : i + n]) & mask for n in NGRAMS for i in range(len(core) - n + 1))]
@@ -48,25 +68,36 @@ def buckets_of(word: bytes) -> list[int]:
 
 
 class WordSums:
-    """Mean bucket weight of words, remembered."""
+    """Mean bucket weight of the words in white-space words, remembered: a number for one word, a tuple for more."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
-        self.known: dict[bytes, float] = {}
+        self.known: dict[bytes, float | tuple[float, ...]] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.known.get, words))
+    def _means(self, words: list[bytes]) -> list[float]:
+        out = []
+        for at in range(0, len(words), BLOCK):
+            lists = [buckets_of(w) for w in words[at : at + BLOCK]]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = self.weights[np.fromiter((b for x in lists for b in x), np.int64, int(sizes.sum()))]
+            out += (np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes).tolist()
+        return out
+
+    def of(self, chunks: list[bytes]) -> np.ndarray:
+        found = list(map(self.known.get, chunks))
         if None in found:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-                found = [None] * len(words)
-            new = list({w for w, v in zip(words, found, strict=True) if v is None})
-            lists = [buckets_of(w) for w in new]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = self.weights[np.fromiter((b for x in lists for b in x), np.int64, int(sizes.sum()))]
-            means = np.add.reduceat(flat, np.cumsum(sizes) - sizes) / sizes
-            self.known.update(zip(new, means.tolist(), strict=True))
-            found = list(map(self.known.get, words))
+                found = [None] * len(chunks)
+            new = list({w for w, v in zip(chunks, found, strict=True) if v is None})
+            lists = [pieces_of(w) for w in new]
+            means = self._means([p for x in lists for p in x])
+            ends = np.cumsum([len(x) for x in lists]).tolist()
+            values = {w: means[e - 1] if len(x) == 1 else tuple(means[e - len(x) : e]) for w, x, e in zip(new, lists, ends, strict=True)}
+            self.known.update((w, v) for w, v in values.items() if len(w) <= CACHE_BYTES)
+            found = [values[w] if v is None else v for w, v in zip(chunks, found, strict=True)]
+        if tuple in set(map(type, found)):
+            found = [x for v in found for x in (v if type(v) is tuple else (v,))]
         return np.array(found, np.float64)
 
 
@@ -180,7 +211,7 @@ class ToxicityScorer:
     def score(self, text: bytes) -> float:
         if self._sums is None:
             self._sums = WordSums(self.weights)
-        logit = self.scale * (best_window(self._sums.of(words_of(text)))[0] + self.bias) + self.shift
+        logit = self.scale * (best_window(self._sums.of(text.lower().split()))[0] + self.bias) + self.shift
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 

@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, and exactness of the chain model."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -55,6 +56,40 @@ def test_neighbours_stop_at_document_ends():
     assert wide.tolist() == [[1, 0, 2], [2, 1, 0], [3, 0, 4], [4, 3, 0]]
 
 
+def test_long_and_unspaced_words_are_scored_whole():
+    """An insult anywhere in a word without ASCII blanks changes the score."""
+    rng = np.random.default_rng(6)
+    latin = ["".join(rng.choice(list("aeioubdlmnrst"), rng.integers(3, 8))) for _ in range(300)]
+    han = "".join(map(chr, rng.integers(0x4E00, 0x5200, 300)))
+    texts, y = [], (np.arange(1200) % 4 == 0).astype(int)
+    for label in y:
+        t = list(rng.choice(latin, 30))
+        if label:
+            t[rng.integers(30)] = "scoundrel"
+        texts.append(" ".join(t).encode())
+    m = toxicity.SubwordSoftmax().fit(texts, y)
+    s = toxicity.ToxicityScorer(m.weights, m.bias, m.scale, m.shift)
+    for gap in ("\u00a0", "\u3000", "/", "_", "-", "\u2014"):
+        clean = gap.join(latin[:80])
+        assert s.score(clean.encode()) < 0.5 < s.score(gap.join([clean, "scoundrel", clean]).encode()), gap
+    insults = {"scoundrel": "".join(latin), "\u9a6c\u9e7f\u9e1f": han}
+    weights = np.zeros(1 << toxicity.BUCKET_BITS)
+    for insult in insults:  # a weight on n-grams of the insult alone
+        weights[[zlib.crc32(insult[i : i + n].encode()) & len(weights) - 1 for n in toxicity.NGRAMS for i in range(len(insult) - n + 1)]] = 1
+    for insult, bare in insults.items():
+        for at in range(60, 240):
+            for t in (bare, bare[:20] * 15):
+                assert toxicity.ToxicityScorer(weights, 0, 1, 0).score((t[:at] + insult + t[at:]).encode()) > toxicity.ToxicityScorer(weights, 0, 1, 0).score(t.encode()) + 1e-4
+
+
+def test_pieces_hold_every_ngram():
+    for word in ("x" * 50, "abcdefghij" * 30, "\u4e00\u4e8c\u4e09\u56db\u4e94" * 9, "\u0e01\u0e02\u0e03" * 40, "-" * 300, "a", "\u00e9" * 40):
+        core, pieces = f"<{word}>", [p.decode() for p in toxicity.pieces_of(word.encode())]
+        for n in toxicity.NGRAMS:
+            assert {core[i : i + n] for i in range(len(core) - n + 1)} == {p[i : i + n] for p in pieces for i in range(len(p) - n + 1)}
+    assert toxicity.words_of(b"Well-known, don't f*ck. (No) ---") == [b"<well>", b"<known>", b"<don't>", b"<f*ck>", b"<no>", b"<--->"]
+
+
 def test_misspellings_share_ngrams():
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("aeioubdlmnrst"), rng.integers(2, 8))) for _ in range(400)]
