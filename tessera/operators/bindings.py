@@ -54,7 +54,7 @@ def aggregate_values(attributes: DataFrame, bindings: DataFrame, links: DataFram
     return every.select("entity_id", "field_name", "allow_override", pick.alias("bound"), F.lit("aggregate").alias("origin"))
 
 
-def validate_binding(bindings: DataFrame, source: tuple, target: tuple, depth: int = 32) -> str | None:
+def validate_binding(bindings: DataFrame, source: tuple, target: tuple, depth: int | None = None) -> str | None:
     """Why a binding (entity, field) -> (entity, field) can't be made, or None: it binds itself, the field is bound, or it closes a cycle."""
     if source == target:
         return "a field cannot be bound to itself"

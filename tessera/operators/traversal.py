@@ -7,10 +7,17 @@ executor repeats a level and not the whole walk, and plans stay short.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _levels(first: int, depth: int | None):
+    """Levels up to ``depth``, or without end: every walk stops at an empty frontier, since no pair is reached twice."""
+    return count(first) if depth is None else range(first, depth + 1)
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage cut in the shared folder of ``spark.checkpoint.dir``, set only where unset."""
     sc = df.sparkSession.sparkContext
@@ -23,11 +30,11 @@ def undirected(edges: DataFrame, *keep: str) -> DataFrame:
     return edges.select("source", "target", *keep).unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *keep))
 
 
-def bfs(edges: DataFrame, starts: DataFrame, hops: int, start_column: str = "id") -> DataFrame:
-    """(start, node, distance): nodes within ``hops`` of each start, the start itself at 0."""
+def bfs(edges: DataFrame, starts: DataFrame, hops: int | None, start_column: str = "id") -> DataFrame:
+    """(start, node, distance): nodes within ``hops`` of each start (None: all that are reached), the start itself at 0."""
     seen = starts.select(F.col(start_column).alias("start"), F.col(start_column).alias("node"), F.lit(0).alias("distance"))
     frontier, links = seen, edges.select(F.col("source").alias("node"), F.col("target").alias("_next"))
-    for level in range(1, hops + 1):
+    for level in _levels(1, hops):
         step = frontier.join(links, "node").select("start", F.col("_next").alias("node")).distinct()
         frontier = _cut(step.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(level)))
         if frontier.isEmpty():
@@ -36,17 +43,17 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int, start_column: str = "id"
     return seen
 
 
-def within_hops(edges: DataFrame, start, hops: int) -> DataFrame:
+def within_hops(edges: DataFrame, start, hops: int | None) -> DataFrame:
     """(node, distance) over directed edges, the start left out."""
     starts = edges.sparkSession.range(1).select(F.lit(start).alias("id"))
     return bfs(edges, starts, hops).where(F.col("distance") > 0).select("node", "distance")
 
 
-def closure(edges: DataFrame, depth: int = 32) -> DataFrame:
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(ancestor, descendant, depth) over (source = parent, target = child), the least depth of each pair."""
     frontier = _cut(edges.select(F.col("source").alias("ancestor"), F.col("target").alias("descendant"), F.lit(1).alias("depth")).distinct())
     seen, links = frontier, edges.select(F.col("source").alias("descendant"), F.col("target").alias("_next")).distinct()
-    for level in range(2, depth + 1):
+    for level in _levels(2, depth):
         step = frontier.join(links, "descendant").select("ancestor", F.col("_next").alias("descendant")).distinct()
         frontier = _cut(step.join(seen, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
@@ -55,13 +62,13 @@ def closure(edges: DataFrame, depth: int = 32) -> DataFrame:
     return seen
 
 
-def ancestors(edges: DataFrame, node, depth: int = 32) -> DataFrame:
+def ancestors(edges: DataFrame, node, depth: int | None = None) -> DataFrame:
     """(node, depth) above ``node``: the walk goes up from it, not over the whole graph."""
     up = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
     return within_hops(up, node, depth).withColumnRenamed("distance", "depth")
 
 
-def descendants(edges: DataFrame, node, depth: int = 32) -> DataFrame:
+def descendants(edges: DataFrame, node, depth: int | None = None) -> DataFrame:
     return within_hops(edges, node, depth).withColumnRenamed("distance", "depth")
 
 
@@ -71,7 +78,7 @@ def siblings(edges: DataFrame, node) -> DataFrame:
     return edges.join(parents, "source", "left_semi").where(F.col("target") != F.lit(node)).select(F.col("target").alias("node")).distinct()
 
 
-def common_ancestors(edges: DataFrame, a, b, depth: int = 32) -> DataFrame:
+def common_ancestors(edges: DataFrame, a, b, depth: int | None = None) -> DataFrame:
     return ancestors(edges, a, depth).select("node").intersect(ancestors(edges, b, depth).select("node"))
 
 
@@ -141,12 +148,12 @@ def expand_results(results: DataFrame, mentions: DataFrame, edges: DataFrame, ma
     return results.select("note_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("distance")).unionByName(new.select("note_id", F.lit(0.5).alias("score"), F.lit(1).alias("distance")))
 
 
-def has_cycle(edges: DataFrame, depth: int = 32) -> DataFrame:
+def has_cycle(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that can reach themselves."""
     return closure(edges, depth).where(F.col("ancestor") == F.col("descendant")).select(F.col("ancestor").alias("node")).distinct()
 
 
-def would_cycle(edges: DataFrame, source, target, depth: int = 32) -> bool:
+def would_cycle(edges: DataFrame, source, target, depth: int | None = None) -> bool:
     """True if an edge from source to target closes a cycle: source is reached from target, or is it."""
     return source == target or not within_hops(edges, target, depth).where(F.col("node") == F.lit(source)).isEmpty()
 
@@ -164,7 +171,7 @@ def adjacency(edges: DataFrame, node, direction: str = "both") -> DataFrame:
     return {"out": out, "in": into}.get(direction) if direction != "both" else out.unionByName(into)
 
 
-def generation_depth(edges: DataFrame, root, node, depth: int = 32) -> DataFrame:
+def generation_depth(edges: DataFrame, root, node, depth: int | None = None) -> DataFrame:
     """One row: the generation of ``node`` below ``root``, 0 for the root, -1 if it is not below."""
     found = descendants(edges, root, depth).where(F.col("node") == F.lit(node)).agg(F.min("depth").alias("d"))
     return found.select(F.when(F.lit(root == node), 0).otherwise(F.coalesce("d", F.lit(-1))).alias("generation"))
@@ -174,7 +181,7 @@ def entities_at_generation(edges: DataFrame, root, generation: int) -> DataFrame
     return descendants(edges, root, max(generation, 1)).where(F.col("depth") == generation).select("node")
 
 
-def generation_count(edges: DataFrame, root, depth: int = 32) -> DataFrame:
+def generation_count(edges: DataFrame, root, depth: int | None = None) -> DataFrame:
     """Generations below a root with it, 0 without a root."""
     if root is None:
         return edges.sparkSession.range(1).select(F.lit(0).alias("generations"))
@@ -201,7 +208,7 @@ def members_by_relationship(edges: DataFrame, kind: str) -> DataFrame:
     return typed.select(F.col("source").alias("node")).union(typed.select("target")).distinct()
 
 
-def folder_notes_and_links(folders: DataFrame, notes: DataFrame, links: DataFrame, root, depth: int = 32) -> tuple[DataFrame, DataFrame]:
+def folder_notes_and_links(folders: DataFrame, notes: DataFrame, links: DataFrame, root, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(notes below a folder, links among them): folders (source, target), notes (note_id, folder_id), links (source, target)."""
     tree = descendants(folders, root, depth).select("node").union(folders.sparkSession.range(1).select(F.lit(root)))
     inside = notes.join(tree.withColumnRenamed("node", "folder_id"), "folder_id", "left_semi")
