@@ -1,10 +1,14 @@
 """License notices found by diagonal voting.
 
-All rolling word k-grams of the texts are joined with the k-gram positions of
-a small template table.  A match of a text position with a template position
-votes for their difference, the diagonal.  Neighbouring diagonals of one
-template are merged, so a word more or less does not split a notice, and the
-merged span is verified against the template.  Only DataFrame functions run.
+Hashes of all rolling word k-grams of the texts are joined with the k-gram
+positions of a small template table.  A match of a text position with a
+template position votes for their difference, the diagonal.  Diagonals with too
+few votes are chance and go; neighbouring ones of a template are merged, so a
+word more or less does not split a notice, and the merged span is verified
+against the template.  Only DataFrame functions run.
+
+Texts are told apart by doc_id and a 64-bit hash, and grams by their hash: the
+join moves longs, never words.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ TEMPLATES = {
 }
 #: Words of a gram.  The shortest base phrase has two.
 GRAM = 2
+#: Votes a diagonal needs: distinct positions of the template met on it.
+MIN_VOTES = 2
 #: Diagonals this near count as one notice.
 MERGE_GAP = 2
 #: Share of a template's grams that a merged span must hold.
@@ -49,89 +55,109 @@ def words_of(text: Column) -> Column:
 
     ``lower`` is the quick form: it differs from lower-casing A-Z only outside
     ASCII, but for the Kelvin sign, whose lower case is an ASCII letter and
-    which ``translate`` puts back out of reach first.
+    which is put out of reach first.
     """
-    parts = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "K", "¤")), _SEPARATORS)
-    return F.filter(parts, lambda w: w != "")
+    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00a4")))
+    return F.array_remove(F.split(plain, _SEPARATORS), "")  # only the first and last part can be empty
 
 
-def template_grams(spark, base: dict[str, str], own: dict[str, str]) -> DataFrame:
-    """(hash, gram, template, tpos, grams, label, is_base): a row per template position."""
-    rows = []
-    for number, (phrase, label, is_base) in enumerate([(p, x, True) for p, x in base.items()] + [(p, x, False) for p, x in own.items()]):
-        words = phrase.split()
+def _templates(base: dict[str, str], own: dict[str, str]) -> list[tuple[list[str], str, bool]]:
+    return [(p.split(), x, True) for p, x in base.items()] + [(p.split(), x, False) for p, x in own.items()]
+
+
+def _inline(spark, rows: list[dict], schema: str) -> DataFrame:
+    """A bounded driver-side table as a literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def template_grams(spark, base: dict[str, str], own: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(hash, template, tpos), a row per template position, and (template, grams, label, is_base), a row per template."""
+    places, kinds = [], []
+    for number, (words, label, is_base) in enumerate(_templates(base, own)):
         grams = len(words) - GRAM + 1
         if not 0 < grams <= 62:
-            raise ValueError(f"a template needs {GRAM} to {GRAM + 61} words: {phrase!r}")
-        rows += [{"gram": " ".join(words[i : i + GRAM]), "template": number, "tpos": i, "grams": grams, "label": label, "is_base": is_base} for i in range(grams)]
-    schema = "gram string, template int, tpos int, grams int, label string, is_base boolean"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-    return table.withColumn("hash", F.xxhash64("gram"))
+            raise ValueError(f"a template needs {GRAM} to {GRAM + 61} words: {' '.join(words)!r}")
+        places += [{"a": words[i], "b": words[i + 1], "template": number, "tpos": i} for i in range(grams)]
+        kinds.append({"template": number, "grams": grams, "label": label, "is_base": is_base})
+    hashed = _inline(spark, places, "a string, b string, template int, tpos int").select(F.xxhash64("a", "b").alias("hash"), "template", "tpos")
+    return hashed, _inline(spark, kinds, "template int, grams int, label string, is_base boolean")
 
 
-def scan_spans(docs: DataFrame, base: dict[str, str] | None = None, own: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows per text, verified spans).
+def diagonals(docs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """doc_id, text_hash, template, diagonal, low, high, seen, n_words, copies.
 
-    The first has a row per distinct (doc_id, text): doc_id, text_hash, n_words
-    and an array of its spans struct(label, is_base, start, words, cover), start
-    counted in words from 0.  The second is that array exploded.
+    A row per diagonal met, with its bits of template positions; and one per
+    distinct (doc_id, text_hash) whose template is null, with the number of
+    rows equal in both.
     """
-    spark = docs.sparkSession
-    templates = template_grams(spark, BASE_PHRASES if base is None else base, TEMPLATES if own is None else own)
     words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("words"))
     following = F.slice("words", 2, 1 << 30)
-    grams = F.zip_with("words", following, lambda a, b: F.concat(a, F.lit(" "), b))  # the last is null: no word follows
-    rows = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode_outer(grams).alias("pos", "gram"))
-    rows = rows.withColumn("hash", F.xxhash64("gram"))
-    # The template table is constant: a few hundred rows.  A row per text stays besides the matches.
-    t = F.broadcast(templates.withColumnRenamed("hash", "t_hash").withColumnRenamed("gram", "t_gram"))
-    met = rows.join(t, (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")), "left")
-    met = met.where(F.col("template").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    votes = (
-        met.withColumn("diagonal", F.col("pos") - F.col("tpos"))
-        .groupBy("doc_id", "text_hash", "n_words", "template", "diagonal", "label", "is_base", "grams")
-        .agg(
-            F.countDistinct("pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"),
-            F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"),
-        )
+    grams = F.zip_with("words", following, lambda a, b: F.xxhash64(a, b))  # the last word has no follower: no gram's hash
+    # A null before the grams stands for the row itself: it meets no template, and is kept.
+    marked = F.concat(F.array(F.lit(None).cast("long")), grams)
+    rows = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode(marked).alias("pos", "gram"))
+    met = rows.join(F.broadcast(hashed), F.col("gram") == F.col("hash"), "left").where("template is not null or pos = 0")
+    return (
+        met.withColumn("pos", F.col("pos") - 1)
+        .groupBy("doc_id", "text_hash", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        .agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
     )
+
+
+def _merged(met: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The diagonals voted for, neighbours merged, with ``label``, ``is_base``, ``cover`` and whether they are ``verified``; the rows of texts stay as they are."""
+    known = met.join(F.broadcast(kinds), "template", "left")
+    enough = F.when(F.col("is_base"), F.col("grams")).otherwise(F.least(F.lit(MIN_VOTES), F.col("grams")))
+    voted = known.where(F.col("template").isNull() | (F.bit_count("seen") >= enough))
     # Base phrases keep their own diagonal: each exact place counts by itself.
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    fresh = F.when(F.col("is_base") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > MERGE_GAP), 1).otherwise(0)
-    merged = (
-        votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-        .groupBy("doc_id", "text_hash", "n_words", "template", "run", "label", "is_base", "grams")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("seen").alias("seen"))
-        .withColumn("cover", F.bit_count("seen") / F.col("grams"))
-    )
+    before = F.lag("diagonal").over(order)
+    fresh = F.when(F.col("is_base") | before.isNull() | (F.col("diagonal") - before > MERGE_GAP), 1).otherwise(0)
+    cover = F.bit_count("seen") / F.col("grams")
     needed = F.when(F.col("is_base"), F.lit(1.0)).otherwise(F.lit(MIN_COVER))
-    verified = (F.col("cover") >= needed) & (F.col("high") - F.col("low") + 1 <= F.col("grams") + MERGE_GAP * 2)
-    span = F.when(verified, F.struct("label", "is_base", F.col("low").cast("long").alias("start"), (F.col("high") - F.col("low") + GRAM).alias("words"), "cover"))
-    per_text = merged.groupBy("doc_id", "text_hash", "n_words").agg(F.collect_list(span).alias("spans"))
-    return per_text, per_text.select("doc_id", "text_hash", F.inline("spans"))
+    return (
+        voted.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+        .groupBy("doc_id", "text_hash", "template", "run", "label", "is_base", "grams")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("seen").alias("seen"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"))
+        .withColumn("cover", cover)
+        .withColumn("verified", F.coalesce((F.col("cover") >= needed) & (F.col("high") - F.col("low") + 1 <= F.col("grams") + MERGE_GAP * 2), F.lit(False)))
+    )
+
+
+def _scan(docs: DataFrame, base: dict[str, str] | None, own: dict[str, str] | None) -> DataFrame:
+    hashed, kinds = template_grams(docs.sparkSession, BASE_PHRASES if base is None else base, TEMPLATES if own is None else own)
+    return _merged(diagonals(docs, hashed), kinds)
+
+
+def scan_spans(docs: DataFrame, base: dict[str, str] | None = None, own: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, text_hash, label, is_base, start, words, cover: the verified spans of every distinct text, start in words from 0."""
+    return _scan(docs, base, own).where("verified").select(
+        "doc_id", "text_hash", "label", "is_base", F.col("low").cast("long").alias("start"), (F.col("high") - F.col("low") + GRAM).cast("long").alias("words"), "cover")
 
 
 def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, own: dict[str, str] | None = None) -> DataFrame:
-    """License labels of every text.
+    """License labels of every row's text.
 
     Returns doc_id, n_words, n_base (exact places of base phrases), first_word
     and last_word (their least and greatest start, else null), base_labels,
     labels (distinct, sorted, comma-joined; '' if none) and score, the best
     cover of a verified span (0 if none).  Null and empty texts have no words.
-    Rows equal in doc_id and text are one row; a null doc_id is kept as one.
-    Other columns are ignored.  An empty table gives none.
+    Repeated rows give repeated rows; null doc_ids stay null.  Other columns
+    are ignored.  An empty table gives none.
     """
-    per_text, _ = scan_spans(docs, base, own)
-    base_spans = F.filter("spans", lambda s: s.is_base)
-    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s.label))), ",")
-    starts = F.transform(base_spans, lambda s: s.start)
-    return per_text.select(
-        "doc_id",
-        F.col("n_words").cast("long").alias("n_words"),
-        F.size(base_spans).cast("long").alias("n_base"),
-        F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"),
-        names(base_spans).alias("base_labels"),
-        names(F.col("spans")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s.cover)), F.lit(0.0)).alias("score"),
+    found = _scan(docs, base, own)
+    good = lambda column: F.when(F.col("verified"), F.col(column))
+    exact = lambda column: F.when(F.col("verified") & F.col("is_base"), F.col(column))
+    names = lambda column: F.array_join(F.array_sort(F.collect_set(column)), ",")
+    per_text = found.groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").cast("long").alias("n_words"),
+        F.count(exact("low")).alias("n_base"),
+        F.min(exact("low")).cast("long").alias("first_word"),
+        F.max(exact("low")).cast("long").alias("last_word"),
+        names(exact("label")).alias("base_labels"),
+        names(good("label")).alias("labels"),
+        F.coalesce(F.max(good("cover")), F.lit(0.0)).alias("score"),
+        F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"),
     )
+    again = per_text.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -12,7 +12,9 @@ then find their place from their rank among the pieces of their length.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import chain, compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,9 @@ class WordEncoder:
 
     The vocabulary drops white space and case and no token crosses white space,
     so the words between ASCII white space are encoded apart and remembered.
-    Texts with a marker of special tokens, or with combining marks, whose
-    composition can depend on case, go to the library whole.
+    Words of ASCII letters are one pre-token each and go to the library's model
+    as they are.  Texts with a marker of special tokens, or with combining
+    marks, whose composition can depend on case, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -51,6 +54,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -59,14 +63,20 @@ class WordEncoder:
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for at in range(0, len(texts), 256):  # joined, for a call costs more than a word
-            some = texts[at : at + 256]
+        plain, rest = [], []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)  # bytes: true of ASCII letters alone
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w.decode())] for w in plain]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self._store(plain, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        for at in range(0, len(rest), 256):  # joined, for a call costs more than a word
+            some = [w.decode("utf-8", "replace") for w in rest[at : at + 256]]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
             begun = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.offsets))
             sizes = np.bincount(np.searchsorted(ends, begun, "right"), minlength=len(some))
-            self._store(words[at : at + 256], np.array(encoded.ids, np.uint32), sizes)
+            self._store(rest[at : at + 256], np.array(encoded.ids, np.uint32), sizes)
 
     def _store(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.index)
@@ -80,23 +90,32 @@ class WordEncoder:
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(ids)
 
-    def encode(self, text: bytes) -> np.ndarray:
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
-            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text.  Words of all texts are looked up together."""
+        if len(self.index) > CACHE_WORDS:
+            self._clear()
+        whole = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        lists = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = list(chain.from_iterable(lists))
         places = list(map(self.index.get, words))
         if None in places:
-            if len(self.index) > CACHE_WORDS:
-                self._clear()
-                places = [None] * len(words)
-            self._learn(list({w for w, p in zip(words, places, strict=True) if p is None}))
-            places = list(map(self.index.get, words))
+            self._learn(list(set(compress(words, map(partial(is_, None), places)))))
+            places = list(map(self.index.__getitem__, words))
         places = np.array(places, np.int64)
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1])]
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(total)]
+        cuts = np.r_[0, ends][np.cumsum(counts)] if len(counts) else []
+        out = np.split(flat, cuts[:-1]) if len(cuts) else []
+        for i, w in enumerate(whole):
+            if w:
+                out[i] = np.array(self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -112,8 +131,8 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = N
         encoder = _encoder(path)
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encoder.encode(text), np.uint32(END_ID)).astype("<u4")
+            for i, found in enumerate(encoder.encode_all(batch.column(1).to_pylist())):
+                ids = np.append(found, np.uint32(END_ID)).astype("<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
                     row.append(i)

@@ -74,25 +74,25 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
-    """The license scan as DuckDB SQL: the same grams, diagonals, merges and tests."""
+    """The license scan as DuckDB SQL: the same grams, diagonals, votes, merges and tests."""
     rows = []
-    for number, (phrase, label, base) in enumerate([(p, x, "true") for p, x in license_scan.BASE_PHRASES.items()] + [(p, x, "false") for p, x in license_scan.TEMPLATES.items()]):
-        w = phrase.split()
-        rows += [f"('{w[i]} {w[i + 1]}', {number}, {i}, {len(w) - 1}, '{label}', {base})" for i in range(len(w) - 1)]
+    for number, (w, label, base) in enumerate(license_scan._templates(license_scan.BASE_PHRASES, license_scan.TEMPLATES)):
+        rows += [f"('{w[i]} {w[i + 1]}', {number}, {i}, {len(w) - 1}, '{label}', {str(base).lower()})" for i in range(len(w) - 1)]
     gap = license_scan.MERGE_GAP
     return f"""WITH t(gram, template, tpos, grams, label, is_base) AS (VALUES {", ".join(rows)}),
-d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(replace(text, chr(8490), chr(164))), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d),
-g AS (SELECT doc_id, text, words[i] || ' ' || words[i + 1] AS gram, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w)),
-v AS (SELECT doc_id, text, template, label, is_base, grams, pos - tpos AS diagonal, min(pos) AS low, max(pos) AS high, list(DISTINCT tpos) AS seen FROM g JOIN t USING (gram) GROUP BY doc_id, text, template, label, is_base, grams, pos - tpos),
-f AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {gap} THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, text, template ORDER BY diagonal)),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, text, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
-m AS (SELECT doc_id, text, template, label, is_base, grams, run, min(low) AS low, max(high) AS high, len(list_distinct(flatten(list(seen)))) / grams AS cover FROM r GROUP BY doc_id, text, template, label, is_base, grams, run),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, list_filter(regexp_split_to_array(lower(replace(text, chr(8490), chr(164))), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT r, words[i] || ' ' || words[i + 1] AS gram, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w)),
+a AS (SELECT r, template, label, is_base, grams, pos - tpos AS diagonal, min(pos) AS low, max(pos) AS high, list(DISTINCT tpos) AS seen FROM g JOIN t USING (gram) GROUP BY r, template, label, is_base, grams, pos - tpos),
+v AS (SELECT * FROM a WHERE len(seen) >= CASE WHEN is_base THEN grams ELSE least(grams, {license_scan.MIN_VOTES}) END),
+f AS (SELECT *, CASE WHEN is_base OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {gap} THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM f),
+m AS (SELECT r, template, label, is_base, grams, run, min(low) AS low, max(high) AS high, len(list_distinct(flatten(list(seen)))) / grams AS cover FROM n GROUP BY r, template, label, is_base, grams, run),
 k AS (SELECT * FROM m WHERE cover >= CASE WHEN is_base THEN 1.0 ELSE {license_scan.MIN_COVER} END AND high - low + 1 <= grams + {2 * gap}),
-s AS (SELECT doc_id, text, count(*) FILTER (is_base) AS n_base, min(low) FILTER (is_base) AS first_word, max(low) FILTER (is_base) AS last_word,
-  array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM k GROUP BY 1, 2)
+s AS (SELECT r, count(*) FILTER (is_base) AS n_base, min(low) FILTER (is_base) AS first_word, max(low) FILTER (is_base) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score FROM k GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN s USING (doc_id, text)"""
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN s USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:

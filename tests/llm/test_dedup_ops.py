@@ -207,10 +207,21 @@ def test_license_templates_with_gaps(spark):
 
 def test_license_odd_rows(odd_docs, no_docs):
     rows = license_scan.scan_licenses(odd_docs).collect()
-    assert len(rows) == 9 and sum(r["n_words"] == 0 for r in rows) == 3  # the repeated row is one
+    assert len(rows) == 10 and sum(r["n_words"] == 0 for r in rows) == 3 and sum(r["doc_id"] == 5 for r in rows) == 2
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_votes(spark):
+    # "the terms" and "of the" strewn about give many diagonals of one vote; the notice among them is still found
+    strewn = "of the terms and of the law in the terms " * 30
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public License"
+    texts = [(1, strewn), (2, strewn + notice), (3, notice + " x " + strewn)]
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [rows[i]["labels"] for i in (1, 2, 3)] == ["", "mpl", "mpl"]
+    spans = license_scan.scan_spans(spark.createDataFrame(texts[1:2], "doc_id long, text string")).collect()
+    assert [(r["label"], r["start"], r["words"], r["cover"]) for r in spans] == [("mpl", 300, 14, 1.0)]
+
+
 # -- sharding --------------------------------------------------------------------------
 
 
