@@ -32,7 +32,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_alphabet() -> dict[int, str]:
+def byte_alphabet() -> dict[int, str]:
     """Byte-level BPE writes bytes that don't print as the code points from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -45,7 +45,7 @@ class BpeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         number = {alphabet[b]: b for b in range(256)}  # a symbol is held as a small number while merging
         self.pair: dict[int, int] = {}  # two symbols -> rank, then the joined symbol in the low 20 bits
         for rank, merge in enumerate(spec["model"]["merges"]):

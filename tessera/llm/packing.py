@@ -11,16 +11,19 @@ then find their place from their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from functools import lru_cache, partial
-from itertools import chain, compress
-from operator import is_
+from array import array
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe_count import byte_alphabet
 from tessera.llm.common import map_batches, materialize, text_bytes
 
 WINDOW = 4096
@@ -28,8 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: Distinct words a worker remembers; past it the memory starts afresh.
 CACHE_WORDS = 1_000_000
-#: Rows of one length ranked in one task; longer lists are split by hash.
-RANK_SLICES = 64
+#: Pieces of one length that are ranked in one task, about; longer lists are dealt into slices by hash.
+SLICE_PIECES = 1 << 17
 
 
 def default_vocabulary() -> str:
@@ -38,14 +41,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose pre-tokens are plain to see: Latin letters without those whose lower case changes length, digits, printable ASCII but the apostrophe.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017f"
+_EASY = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
+_PRETOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+class _Numbers(dict):
+    """Numbers words in the order they are first asked for; the new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts.
 
     The vocabulary drops white space and case and no token crosses white space,
     so the words between ASCII white space are encoded apart and remembered.
-    Words of ASCII letters are one pre-token each and go to the library's model
-    as they are.  Texts with a marker of special tokens, or with combining
-    marks, whose composition can depend on case, go to the library whole.
+    Words whose pre-tokens are plain to see go to the library's model piece by
+    piece, others to the library.  Texts with a marker of special tokens, or
+    with combining marks, whose composition can depend on case, go there whole.
     """
 
     def __init__(self, path: str):
@@ -55,39 +77,61 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        alphabet = byte_alphabet()
+        self.to_bytes = {b: alphabet[b] for b in range(128, 256)}
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _learn(self, words: list[bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            (plain if w.isalpha() else rest).append(w)  # bytes: true of ASCII letters alone
-        tokenize = self.model.tokenize
-        found = [[t.id for t in tokenize(w.decode())] for w in plain]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self._store(plain, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
-        for at in range(0, len(rest), 256):  # joined, for a call costs more than a word
-            some = [w.decode("utf-8", "replace") for w in rest[at : at + 256]]
+        tokenize, easy, pretokens, table = self.model.tokenize, _EASY.fullmatch, _PRETOKENS.findall, self.to_bytes
+        ids, sizes, rest = array("I"), array("q"), []
+        for n, word in enumerate(words):
+            before = len(ids)
+            if word.isalpha():  # bytes: true of ASCII letters alone
+                ids.extend([t.id for t in tokenize(word.decode())])
+            else:
+                text = word.decode("utf-8", "replace")
+                if easy(text):
+                    for part in pretokens(text.lower()):
+                        ids.extend([t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(table))])
+                else:
+                    rest.append((n, text))
+            sizes.append(len(ids) - before)
+        ids, sizes = np.array(ids, np.uint32), np.array(sizes, np.int64)
+        if rest:
+            at, texts = zip(*rest, strict=True)
+            found, counts = self._by_library(texts)
+            at = np.array(at)
+            places = np.repeat(np.cumsum(sizes)[at], counts)
+            sizes[at] = counts
+            ids = np.insert(ids, places, found)
+        self._store(ids, sizes)
+
+    def _by_library(self, texts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text); texts are joined, for a call costs more than a word."""
+        ids, counts = [], []
+        for at in range(0, len(texts), 256):
+            some = texts[at : at + 256]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
             begun = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded.offsets))
-            sizes = np.bincount(np.searchsorted(ends, begun, "right"), minlength=len(some))
-            self._store(rest[at : at + 256], np.array(encoded.ids, np.uint32), sizes)
+            counts.append(np.bincount(np.searchsorted(ends, begun, "right"), minlength=len(some)))
+            ids.append(np.array(encoded.ids, np.uint32))
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def _store(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.index)
-        while n + len(words) > len(self.starts):
+        while n > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.starts[n - len(sizes) : n] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n - len(sizes) : n] = sizes
         self.used += len(ids)
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -97,18 +141,16 @@ class WordEncoder:
         whole = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
         lists = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        words = list(chain.from_iterable(lists))
-        places = list(map(self.index.get, words))
-        if None in places:
-            self._learn(list(set(compress(words, map(partial(is_, None), places)))))
-            places = list(map(self.index.__getitem__, words))
-        places = np.array(places, np.int64)
+        n = int(counts.sum())
+        places = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, n)
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(total)]
-        cuts = np.r_[0, ends][np.cumsum(counts)] if len(counts) else []
-        out = np.split(flat, cuts[:-1]) if len(cuts) else []
+        flat = self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1] if n else 0)]
+        cuts = np.r_[0, ends][np.cumsum(counts)]
+        out = np.split(flat, cuts[:-1]) if texts else []
         for i, w in enumerate(whole):
             if w:
                 out[i] = np.array(self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
@@ -216,31 +258,33 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None
     Null texts are empty: a document of one id, the end.  Repeated rows are
     packed each, null doc_ids stay null, other columns are ignored, an empty
     table gives no rows.  Writes the pieces once; the driver holds a histogram
-    of ``window`` counts and the plan made from it, whatever the corpus.
+    of ``window`` counts, the plan made from it, and a count per SLICE_PIECES
+    pieces.
     """
     pieces = materialize(cut_pieces(docs, window, vocabulary).withColumn("piece", F.xxhash64("doc_id", "start", "ids_crc32")), "pieces")
-    sliced = pieces.withColumn("slice", F.pmod(F.col("piece"), F.lit(RANK_SLICES)).cast("int"))
-    sizes = [tuple(r) for r in sliced.groupBy("length", "slice").agg(F.count("*").alias("n")).collect()]  # window x RANK_SLICES rows at most
-    histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, part, n in sorted(sizes):
-        before[length, part] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + n
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    long = [{"length": length, "slices": -(-n // SLICE_PIECES)} for length, n in histogram.items() if n > SLICE_PIECES]
+    spark = docs.sparkSession
+    slices = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(long)), "array<struct<length:bigint,slices:bigint>>")))
+    slice_of = F.pmod(F.col("piece"), F.coalesce(F.col("slices"), F.lit(1).cast("long")))
+    sliced = pieces.join(F.broadcast(slices), "length", "left").withColumn("slice", slice_of).drop("slices")
+    # A row for a length and a slice: at most ``window`` and one for SLICE_PIECES pieces.
+    sizes = sorted(tuple(r) for r in sliced.groupBy("length", "slice").agg(F.count("*").alias("n")).collect())
+    length, part, n = np.array(sizes, np.int64).reshape(-1, 3).T
+    before = np.cumsum(n) - n
+    before -= before[np.searchsorted(length, length)]  # within the length
     table = placing_table(plan_patterns(histogram, window))
-    base = np.zeros((window + 1, RANK_SLICES), np.int64)
-    for (length, part), n in before.items():
-        base[length, part] = n
     first_row = np.searchsorted(table["length"], np.arange(window + 2))
-    held = docs.sparkSession.sparkContext.broadcast((base, table, first_row))
+    held = spark.sparkContext.broadcast((length << 32 | part, before, table, first_row))
 
     order = Window.partitionBy("length", "slice").orderBy("piece", "doc_id", "start", "ids_crc32")
     ranked = sliced.withColumn("rank", F.row_number().over(order) - 1).drop("piece")
 
     def run(batches):
-        base, table, first_row = held.value
+        keys, before, table, first_row = held.value
         for batch in batches:
             length, part, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "slice", "rank"))
-            rank = rank + base[length, part]
+            rank = rank + before[np.searchsorted(keys, length << 32 | part)]
             at = np.empty(len(rank), np.int64)
             for value in np.unique(length):  # the last run of this length that starts at or before the rank
                 here = length == value

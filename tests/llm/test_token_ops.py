@@ -166,6 +166,13 @@ def test_packing_round_trip(spark, word_library):
     assert sequences <= tokens / 4096 + 2
 
 
+def test_packing_in_slices(spark, word_library, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_PIECES", 7)
+    texts = {i: "same words " * (i % 3) for i in range(100)}
+    rows = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), window=16).collect()
+    check_packing(rows, texts, word_library, 16)
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     rows = packing.pack_documents(odd_docs).collect()
     assert sum(r["start"] == 0 for r in rows) == 10
