@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch handed to a Python worker.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
+#: Bytes of a table up to which a join may broadcast it, and the copies it is dealt in past that.
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+
+
+class Numbers(dict):
+    """Numbers words in the order they are first asked for; the new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +34,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a master on this machine alone gets a temporary folder;
+    on a cluster that is an error, for each node would write to its own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,6 +71,14 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def join_small(rows: DataFrame, table: DataFrame, on: list[str], size: int) -> DataFrame:
+    """Inner join with a table of ``size`` bytes, as counted: broadcast up to BROADCAST_BYTES, past it dealt in copies, so that no key's rows meet in one task."""
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), on)
+    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, [*on, "salt"]).drop("salt")
+
+
 def text_bytes() -> Column:
     """The UTF-8 bytes of ``text``, empty for null: Python then skips decoding."""
     return F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
@@ -61,10 +90,11 @@ def held_out() -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows outside the held-out fold as (text, y), by hash order of doc_id.
+    """At most ``limit`` labelled rows outside the held-out fold as (doc_id, text, y), by hash order of doc_id.
 
     Only doc_ids are ordered; the limited id set, at most ``limit`` rows, is
-    then broadcast to fetch its texts.  Null labels, texts and ids are left out.
+    then broadcast to fetch its texts.  Of the texts of a repeated doc_id the
+    least counts.  Null labels, texts and ids are left out.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -72,4 +102,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     present = docs.where(F.col("text").isNotNull()).select("doc_id")
     chosen = ids.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", text_bytes(), "y")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", text_bytes(), "y")

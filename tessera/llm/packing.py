@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe_count import byte_alphabet
-from tessera.llm.common import map_batches, materialize, text_bytes
+from tessera.llm.common import Numbers, map_batches, materialize, text_bytes
 
 WINDOW = 4096
 #: The id that ends each document.
@@ -47,19 +47,6 @@ _EASY = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
 _PRETOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
-class _Numbers(dict):
-    """Numbers words in the order they are first asked for; the new ones wait in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class WordEncoder:
     """Ids of whole texts.
 
@@ -82,7 +69,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Numbers()
+        self.index = Numbers()
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
 

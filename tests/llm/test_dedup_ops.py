@@ -123,11 +123,74 @@ def test_overlaps_equal_brute_force(spark):
         for key, item in items.items():
             for d in range(-len(item) + 1, len(own)):
                 a, b = max(0, d), min(len(own), d + len(item))
-                if decontaminate.best_run(own[a:b] == item[a - d : b - d], len(item))[0] >= 13:
+                if decontaminate.best_run(own[a:b] == item[a - d : b - d], len(item))[0]:
                     want.add((r["doc_id"], key))
                     break
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(docs, bench).collect()}
-    assert want and want <= got
+    assert want and want == got
+
+
+def most_ones(masks, longest):
+    """The most ones of a string of each length that begins and ends with one and holds no mask's ones, at any shift."""
+    patterns = [int(m, 2) for m in masks]
+    kept = (1 << max(map(len, masks)) - 1) - 1
+    best, found = {1: 1}, {}
+    for length in range(2, longest + 1):
+        after = {}
+        for state, n in best.items():
+            for bit in (0, 1):
+                now = state << 1 | bit
+                if not (bit and any(now & p == p for p in patterns)):
+                    after[now & kept] = max(after.get(now & kept, 0), n + bit)
+        best = after
+        found[length] = max((n for state, n in best.items() if state & 1), default=0)
+    return found
+
+
+def test_masks_hit_every_overlap_the_verifier_accepts():
+    found = most_ones(decontaminate.SEEDS, 400)
+    assert not [(length, n) for length, n in found.items() if n >= decontaminate.LEAST_TOKENS and 5 * n >= 4 * length]
+
+
+def test_short_items_count_whole(spark):
+    pad = " ".join(f"pad{i}" for i in range(20))
+    six = "one two three four five six"
+    rows = [(1, f"{pad} {six} {pad}"), (2, f"{pad} one two three four five seven {pad}"), (3, "word word"), (4, f"{pad} 北京大学出版社有限公司 {pad}"), (5, "北京大学")]
+    bench = spark.createDataFrame([(7, six), (8, "WORD"), (9, "北京大学出版社有限公司"), (9, "other text of the same id entirely")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"], r["start"]) for r in decontaminate.find_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 7, 6, 20), (3, 8, 1, 0), (4, 9, 11, 20)}
+
+
+def test_long_items_are_verified_whole(spark):
+    words = [f"w{i}" for i in range(10_000)]
+    docs = [(1, " ".join(["a"] * 300 + words[100:9900] + ["b"] * 300)), (2, " ".join(words[5000:5012])), (3, " ".join(words[5000:5013]))]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["matched"], r["length"], r["start"]) for r in decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (9800, 9800, 300), 3: (13, 13, 0)}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 30])
+def test_random_partial_copies(spark, monkeypatch, limit):
+    """Against the rule over all diagonals, with the join broadcast and dealt in copies."""
+    monkeypatch.setattr("tessera.llm.common.BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(11)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate([3, 8, 10, 15, 16, 25, 40, 59])]
+    docs = []
+    for number in range(60):
+        item = items[number % len(items)]
+        size = int(rng.integers(max(1, len(item) // 3), len(item) + 1))
+        at = int(rng.integers(0, len(item) - size + 1))
+        part = [w if rng.random() > (0.1, 0.2, 0.25)[number % 3] else f"x{rng.integers(1e9)}" for w in item[at : at + size]]
+        docs.append((number, " ".join([f"d{number}a{i}" for i in range(5)] + part + [f"d{number}b{i}" for i in range(number % 4)])))
+    want = set()
+    for number, text in docs:
+        own = text.split()
+        for k, item in enumerate(items):
+            best = max((every_run([own[i] == item[i - d] for i in range(max(0, d), min(len(own), d + len(item)))], len(item)) for d in range(-len(item) + 1, len(own))), default=(0, 0, 0), key=lambda r: (r[0], -r[1]))
+            if best[0]:
+                want.add((number, k, best[0], best[1]))
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"))
+    assert want == {(r["doc_id"], r["item_id"], r["matched"], r["length"]) for r in got.collect()} and len(want) > 10
 
 
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
