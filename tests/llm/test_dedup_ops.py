@@ -346,6 +346,95 @@ def test_style_tree_cuts_what_all_pages_share(spark):
     assert "same words everywhere" in alone[0]["text"]
 
 
+def test_few_pages_are_little_evidence(spark):
+    body = "<body><div class=x><p>same words everywhere</p></div><div class=y><p>story {0}</p></div>"
+    texts = {n: {r["text"] for r in extract(spark, [page(body.format(i), number=i) for i in range(n)]).values()} for n in (2, 12)}
+    assert all("same words everywhere" in t for t in texts[2]) and all("same words everywhere" not in t for t in texts[12])
+
+
+def test_hints_inside_an_article_do_not_cut_it(spark):
+    parts = ['<p class="legal-history">l{0}</p>', '<section class="related-work"><h2>Related work</h2><p>r{0}</p></section>', '<div class="side-effects">s{0}</div>', "<p>so <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math></p>"]
+    rows = [page("<body><article>" + "".join(parts).format(i) + "<div class='ad-box'>ad</div><div class='user-comments'>c</div></article>", number=i) for i in range(12)]
+    assert [r["text"] for _, r in sorted(extract(spark, rows).items())] == [f"l{i}\nRelated work\nr{i}\ns{i}\nso x={i}" for i in range(12)]
+    assert extract(spark, rows[:1])[0]["text"] == "l0\nRelated work\nr0\ns0\nso x=0"
+
+
+def test_role_of_a_later_element_counts(spark):
+    got = extract(spark, [page("<body><div>a</div><div role=navigation>menu</div><div>b</div><div style='display: none'>c</div>")])
+    assert got[0]["text"] == "a\nb"
+
+
+def test_large_hosts_of_skewed_layouts_keep_their_texts(spark):
+    rows = [page("<body><div class=c>" + f"<p>story {i}</p>" + "<ul><li>a</ul><table><tr><td>b</table>" * (i % 10 == 0) * (i // 10 % 25) + "</div>", number=i) for i in range(1000)]
+    assert all(f"story {i}" in r["text"] for i, r in extract(spark, rows).items())
+
+
+def test_copies_count_once_and_rare_texts_stay(spark):
+    rows = [page("<body><div class=c><p>one page copied</p></div>", number=i) for i in range(90)] + [page(f"<body><div class=c><p>story {i}</p></div>", number=i) for i in range(90, 100)]
+    assert all(r["text"] for r in extract(spark, rows).values())
+    # not copies: what is around the same text differs, so it is furniture there; a text of one page never is
+    rows = [page(f"<body><div class=c><p>the same</p></div><div class=d><p>other {i}</p></div>", number=i) for i in range(90)] + [page(f"<body><div class=c><p>story {i}</p></div>", number=i) for i in range(90, 100)]
+    got = extract(spark, rows)
+    assert got[3]["text"] == "other 3" and got[95]["text"] == "story 95"
+
+
+def test_deep_markup_is_linear():
+    import time
+    import tracemalloc
+
+    deep = "<div>x" * 100_000 + "</p>" * 1000 + "<a \"" * 10_000
+    began = time.perf_counter()
+    parsed = style_tree.parse_page(deep)
+    assert time.perf_counter() - began < 5 and len(parsed.path) == 100_001
+    tracemalloc.start()
+    assert parsed.kept(set()).count("x") == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_importance_brute_force(spark):
+    """The merged tree of a host against entropies counted page by page."""
+    import math
+
+    rng = np.random.default_rng(2)
+    bodies = []
+    for i in range(40):
+        extra = f"<div class=e><p>{rng.choice(['a', 'b', 'c'], p=[0.8, 0.1, 0.1])}</p></div>" * int(rng.integers(0, 3))
+        bodies.append(f"<body><div class=n>{'<b>x</b>' if i % 9 else 'y'}</div>{extra}<div class=related-work><p>{i % 4}</p></div><article><p>{i}</p></article><nav>{i}</nav>")
+    bodies += bodies[:10]  # copies count once
+    rows = [page(b, number=i) for i, b in enumerate(bodies)]
+    parsed = style_tree.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["path"]: (r["pages"], r["importance"]) for r in style_tree.node_importance(parsed).collect()}
+    seen, trees = defaultdict(list), {}
+    for body in bodies:
+        tree = style_tree.parse_page(body)
+        trees.setdefault((tuple(t for _, t in tree.blocks), tree.layout[0]), tree)
+    for tree in trees.values():
+        for path, layout, content, role, _ in tree.rows():
+            seen[path].append((layout, content, role))
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n == 1 else min(1.0, -sum(c / n * math.log(c / n) for c in Counter(values).values()) / math.log(min(n, style_tree.MOST_BASE)))
+
+    assert len(trees) < len(bodies) and set(got) == set(seen)
+    for path, found in seen.items():
+        layouts, contents = entropy([f[0] for f in found]), entropy([f[1] for f in found])
+        share = style_tree.GAMMA ** len({f[0] for f in found})
+        mixed = max(contents, (1 - share) * layouts + share * contents)
+        mixed = 1 - (1 - mixed) * (len(found) - 1) / (len(found) + 2)
+        weight, stated = style_tree.WEIGHTS[found[0][2]]
+        assert got[path] == (len(found), pytest.approx(weight * stated + (1 - weight) * mixed))
+
+
+def test_cuts_without_broadcast(spark, monkeypatch):
+    rows = [page(f"<body><div class=x><p>menu</p></div><div class=y><p>story {i}</p></div>", number=i) for i in range(12)] + [page(None, number=99), (100, None, "<p>alone</p>")]
+    want = {i: r["text"] for i, r in extract(spark, rows).items()}
+    monkeypatch.setattr(style_tree, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr("tessera.llm.common.BROADCAST_BYTES", -1)
+    assert {i: r["text"] for i, r in extract(spark, rows).items()} == want and want[5] == "story 5" and want[100] == "alone"
+
+
 def test_copies_of_an_article_stay(spark):
     got = extract(spark, [page("<body><nav>n</nav><article><h1>t</h1><p>one and the same</p></article>", number=i) for i in range(20)])
     assert {r["text"] for r in got.values()} == {"t\none and the same"}
