@@ -14,6 +14,8 @@ BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 #: Bytes of a table up to which a join may broadcast it, and the copies it is dealt in past that.
 BROADCAST_BYTES, SALTS = 32 << 20, 16
+#: A key is frequent from so many rows on, or from so small a part of all: there are MOST_HOT such keys at most.
+LEAST_HOT, MOST_HOT = 1024, 100_000
 
 
 class Numbers(dict):
@@ -79,6 +81,21 @@ def join_small(rows: DataFrame, table: DataFrame, on: list[str], size: int) -> D
     return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(dealt, [*on, "salt"]).drop("salt")
 
 
+def join_skewed(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, whose column ``n`` is the number of the ``total`` rows that have it.
+
+    Rows of frequent keys are joined by broadcast, others by a shuffle.  At
+    most MOST_HOT keys are frequent, whatever the total.
+    """
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    added = [c for c in table.columns if c not in (key, n)]
+    hot = table.where(F.col(n) > limit).select(key, F.struct(*added).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    met = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in added])
+    rest = marked.where(F.col("_hot").isNull()).drop("_hot").join(table.where(F.col(n) <= limit).drop(n), key)
+    return met.unionByName(rest)
+
+
 def text_bytes() -> Column:
     """The UTF-8 bytes of ``text``, empty for null: Python then skips decoding."""
     return F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")

@@ -6,7 +6,8 @@ positions; within a list, pairs tally their equal positional bytes, pairs with
 5 or more are kept, and the bits of those are compared.  Lists of single bytes
 would have 1/256 of all fingerprints each, so their pairs grow with the square
 of the corpus; a list here stands for three positions at once, and the eight
-triples used are such that any 5 positions of 8 contain one of them.
+triples used are such that any 5 positions of 8 contain one of them.  For very
+many fingerprints fourteen quadruples do the same with shorter lists.
 
 Exact copies are merged first.  A list longer than BLOCK is dealt as blocks,
 and every pair of blocks meets in some task, so no list is cut or sampled.  A
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialize, text_bytes
+from tessera.llm.common import join_skewed, map_batches, materialize, text_bytes
 from tessera.llm.components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -32,6 +33,11 @@ SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
 MIN_SHARED = 8 - MAX_BITS
 #: Three of four positions in either half: five positions of eight put three into one half.
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
+#: The halves, and two positions of each half that are paired alike: any two positions of a half are paired in one of three ways, and any three hold a pair of each way.
+_PAIRINGS = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
+QUADS = [(0, 1, 2, 3), (4, 5, 6, 7), *((*a, *(p + 4 for p in b)) for way in _PAIRINGS for a in way for b in way)]
+#: Distinct fingerprints up to which triples are the keys: lists then have four entries on average.  Beyond, quadruples keep lists short.
+TRIPLE_PRINTS = 1 << 26
 #: Fingerprints of one list that a task compares with each other at once.
 BLOCK = 2048
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -157,12 +163,12 @@ def _link_sorted(batches):
             yield flush(table)
 
 
-def index_lists(distinct: DataFrame) -> DataFrame:
-    """(list, fp, side): each fingerprint under its eight position triples, long lists dealt as pairs of blocks."""
+def index_lists(distinct: DataFrame, keys: list[tuple[int, ...]] = TRIPLES) -> DataFrame:
+    """(list, fp, side): each fingerprint under the bytes at every set of positions in ``keys``, long lists dealt as pairs of blocks."""
     entries = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("table"), F.expr(" | ".join(f"shiftleft(shiftrightunsigned(fp, {8 * p}) & 255, {8 * k})" for k, p in enumerate(t))).alias("bytes"))
-        for n, t in enumerate(TRIPLES)
-    ])).alias("e")).select("fp", (F.shiftleft("e.table", 24).cast("long") + F.col("e.bytes")).alias("key"))
+        F.struct(F.lit(n).cast("long").alias("table"), F.expr(" | ".join(f"shiftleft(shiftrightunsigned(fp, {8 * p}) & 255, {8 * k})" for k, p in enumerate(t))).alias("bytes"))
+        for n, t in enumerate(keys)
+    ])).alias("e")).select("fp", (F.shiftleft("e.table", 8 * len(keys[0])) + F.col("e.bytes")).alias("key"))
     # Lists past a block are few: what they hold is counted by key, and only their keys are joined.
     long_lists = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(long_lists, "key", "left")
@@ -188,11 +194,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     driver but counts.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    distinct = prints.select("fp").distinct()
-    lists = index_lists(distinct)
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    size = distinct.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    lists = index_lists(distinct, TRIPLES if size["prints"] <= TRIPLE_PRINTS else QUADS)
     ordered = lists.repartition("list").sortWithinPartitions("list", "fp", "side")
     links = map_batches(ordered.select("list", "fp", "side"), _link_sorted, "u long, v long", rows=8192)
-    roots = connected_components(links)
-    tied = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return tied.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    # Only distinct fingerprints meet their roots, and rows their fingerprint: many may share either.
+    tied = materialize(distinct.join(roots, "fp").select("fp", "root", "first"), "roots")
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = join_skewed(tied.select("fp", "root"), least, "root", "n", size["prints"]).select("fp", "component_id", F.lit(True).alias("tied"))
+    known = distinct.join(named, "fp", "left").select("fp", F.when(F.col("tied"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), "n")
+    rows = join_skewed(prints, materialize(known, "components"), "fp", "n", size["rows"])
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

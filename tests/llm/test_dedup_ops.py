@@ -75,10 +75,30 @@ def test_dense_ball_in_blocks(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_triples_meet_the_guarantee():
+@pytest.mark.parametrize("keys", [simhash.TRIPLES, simhash.QUADS])
+def test_position_sets_meet_the_guarantee(keys):
     from itertools import combinations
 
-    assert all(any(set(t) <= set(five) for t in simhash.TRIPLES) for five in combinations(range(8), 5))
+    assert all(any(set(t) <= set(five) for t in keys) for five in combinations(range(8), simhash.MIN_SHARED))
+
+
+def test_hot_keys_and_quadruples(spark, monkeypatch):
+    """Mass copies and one large component, by the paths for frequent keys and for many fingerprints."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 40 + [""] * 30 + [" ".join(w if rng.random() > 0.02 else "z" for w in words) for _ in range(60)] + [f"other {i} text {i * i}" for i in range(20)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)] + [(None, "no id"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr("tessera.llm.common.LEAST_HOT", 2)
+    monkeypatch.setattr("tessera.llm.common.MOST_HOT", 1000)
+    monkeypatch.setattr(simhash, "TRIPLE_PRINTS", 0)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == want
+    prints = [naive_fingerprint(t) for _, t in rows]
+    least = {}
+    for (i, _), k in zip(rows, roots := naive_components(prints), strict=True):
+        least[k] = min((x for x in (i, least.get(k)) if x is not None), default=None)
+    assert want == sorted(f"Row(doc_id={i}, fingerprint='{p:016x}', component_id={least[k]})" for (i, _), p, k in zip(rows, prints, roots, strict=True))
 
 
 def test_near_duplicate_odd_rows(odd_docs, no_docs):
