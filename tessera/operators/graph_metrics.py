@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import with_place
 from tessera.operators.traversal import _cut, undirected
 
 
@@ -22,7 +23,7 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, least_weight: float = 2) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, least_weight: float = 2) -> DataFrame:
     """(node, score, rank): undirected power iteration over edges of weight ``least_weight`` and more, unweighted."""
     links = undirected(edges.where(F.col("weight") >= least_weight)).distinct()
     degree = links.groupBy("source").agg(F.count("*").alias("deg"))
@@ -35,7 +36,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, leas
         rank = nodes.join(got, "node", "left").select("node", ((1 - damping) / max(n, 1) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if i % 5 == 4:
             rank = _cut(rank)
-    return rank.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "node")))
+    return with_place(rank, F.desc(F.round("score", 9)), "node", name="rank")
 
 
 def flow_centrality(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
@@ -62,8 +63,9 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
     """(in + out) / (2 (n - 1)), 0 for a single node."""
-    n = F.count("*").over(Window.partitionBy())
-    return degree(edges).withColumn("centrality", F.when(n > 1, F.col("total") / (2 * (n - 1))).otherwise(0.0))
+    found = degree(edges)
+    n = F.col("_n")
+    return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("_n")))).withColumn("centrality", F.when(n > 1, F.col("total") / (2 * (n - 1))).otherwise(0.0)).drop("_n")
 
 
 def compare_importance(ranks: DataFrame, degrees: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import with_place
 from tessera.operators.traversal import closure, has_cycle
 
 #: Weight of a source of relationships; others weigh .5.
@@ -188,9 +189,10 @@ def temporal_relations(events: DataFrame) -> DataFrame:
     base = F.lit(0.5)
     for g, c in {"second": 0.95, "minute": 0.90, "hour": 0.85, "day": 0.80, "month": 0.70}.items():
         base = F.when(F.col("granularity") == g, c).otherwise(base)
-    order = Window.orderBy("at", "id")
     rows = events.withColumn("c", base)
-    follow = rows.select("id", "at", "c", F.lead("id").over(order).alias("n"), F.lead("at").over(order).alias("n_at"), F.lead("c").over(order).alias("n_c")).where("n is not null")
+    placed = with_place(rows.select("id", "at", "c"), "at", "id")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("id").alias("n"), F.col("at").alias("n_at"), F.col("c").alias("n_c"))
+    follow = placed.join(after, "place")
     seconds = lambda c: F.col(c).cast("timestamp").cast("long")
     same = seconds("n_at") - seconds("at") <= 86_400
     pairs = follow.select(F.col("id").alias("source"), F.col("n").alias("target"), F.when(same, "CONCURRENT").otherwise("PRECEDES").alias("type"), (F.least("c", "n_c") * F.when(same, 0.9).otherwise(1.0)).alias("confidence"))

@@ -1,12 +1,15 @@
 """Scanners over documents: one pass, Arrow batches, rows out.
 
-Dictionaries travel as broadcast variables after a check of their size.  A
-dictionary past the limit is matched by joining n-grams instead, which has no
-limit but finds whole words only.
+A dictionary is broadcast up to a bounded number of entities.  A larger one is
+dealt into shards of that size; each shard's automaton finds all its names, and
+the hits of a document are then resolved together, so that results are those of
+one automaton over all names.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -50,34 +53,54 @@ def scan_triples(docs: DataFrame) -> DataFrame:
     return _rows(docs, S.scan_triples, {"start": "int", "end": "int", "subject": "string", "predicate": "string", "object": "string"})
 
 
-def _dictionary(entities: DataFrame):
-    """The dictionary as a broadcast, or None if it is too large."""
-    rows = entities.select("id", "label", "kind", "aliases").limit(BROADCAST_ENTITIES + 1).collect()
-    return None if len(rows) > BROADCAST_ENTITIES else entities.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-
-
 _MENTION = {"start": "int", "end": "int", "entity_id": "string", "kind": "string", "confidence": "double"}
 _BUILT: dict[tuple, S.Dictionary] = {}
 
 
-def _finder(held, **how) -> Callable[[str], list[dict]]:
+def _shards(entities: DataFrame) -> list:
+    """The dictionary as broadcasts of at most BROADCAST_ENTITIES rows or so each: one, if it is small."""
+    rows = entities.select("id", "label", "kind", "aliases")
+    count = max(1, -(-rows.limit(BROADCAST_ENTITIES + 1).count() // BROADCAST_ENTITIES))
+    if count > 1:
+        count = -(-2 * rows.count() // BROADCAST_ENTITIES)  # twice as many, for hashes deal unevenly
+    sc = entities.sparkSession.sparkContext
+    part = lambda k: rows if count == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k)
+    return [sc.broadcast([tuple(r) for r in part(k).collect()]) for k in range(count)]
+
+
+def _finder(held, every: bool = False, **how) -> Callable[[str], list[dict]]:
     key = (held.id if hasattr(held, "id") else id(held), tuple(sorted(how.items())))
 
     def find(text: str) -> list[dict]:
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = S.Dictionary(held.value, **how)
-        return [h | {"entity_id": str(h["entity_id"])} for h in _BUILT[key].find(text)]
+        found = _BUILT[key].find_all(text) if every else _BUILT[key].find(text)
+        return [h | {"entity_id": str(h["entity_id"])} for h in found]
 
     return find
 
 
 def find_mentions(docs: DataFrame, entities: DataFrame, *, alias: float = 0.95, generated: bool = True) -> DataFrame:
     """(doc_id, start, end, entity_id, kind, confidence): labels, aliases and generated aliases in the texts."""
-    held = _dictionary(entities)
-    if held is None:
-        return find_mentions_by_join(docs, entities)
-    return _rows(docs, _finder(held, alias=alias, generated=generated), _MENTION)
+    shards = _shards(entities)
+    if len(shards) == 1:
+        return _rows(docs, _finder(shards[0], alias=alias, generated=generated), _MENTION)
+    every = None
+    for held in shards:
+        hits = _rows(docs, _finder(held, True, alias=alias, generated=generated), _MENTION)
+        every = hits if every is None else every.unionByName(hits)
+    spans = F.collect_list(F.struct("start", (-F.col("end")).alias("last"), (-F.col("confidence")).alias("low"), "entity_id", "kind"))
+    kept = _resolved(every.groupBy("doc_id").agg(F.array_sort(spans).alias("spans")))
+    return kept.select("doc_id", F.inline("spans")).select("doc_id", "start", (-F.col("last")).alias("end"), "entity_id", "kind", (-F.col("low")).alias("confidence"))
+
+
+def _resolved(grouped: DataFrame) -> DataFrame:
+    """Spans sorted by start, longest and best first: each that begins at or after the end of the last kept one."""
+    kind = grouped.schema["spans"].dataType.simpleString()
+    zero = f"named_struct('last', 0, 'kept', CAST(array() AS {kind}))"
+    step = "(a, x) -> IF(x.start >= a.last, named_struct('last', -x.last, 'kept', concat(a.kept, array(x))), a)"
+    return grouped.withColumn("spans", F.expr(f"aggregate(spans, {zero}, {step}).kept"))
 
 
 def find_exact(docs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -108,11 +131,24 @@ def scan_temporal(docs: DataFrame, custom: list[str] = ()) -> DataFrame:
 
 
 def _with_entities(docs: DataFrame, entities: DataFrame, fn, fields: dict[str, str]) -> DataFrame:
-    held = _dictionary(entities)
-    if held is None:
-        raise ValueError(f"more than {BROADCAST_ENTITIES} entities: partition them by scope first")
-    find = _finder(held, alias=0.95, generated=True)
-    return _rows(docs, lambda t: fn(t, find(t)), fields)
+    shards = _shards(entities)
+    if len(shards) == 1:
+        find = _finder(shards[0], alias=0.95, generated=True)
+        return _rows(docs, lambda t: fn(t, find(t)), fields)
+    spans = find_mentions(docs, entities).groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("start", "end", "entity_id", "kind", "confidence")))).alias("spans"))
+    both = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    return _rows(both.select("doc_id", F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), "spans")).alias("text")), lambda row: _apply(fn, row), fields)
+
+
+def _apply(fn, row: str) -> list[dict]:
+    row = json.loads(row or '{"text": ""}')
+    return fn(row["text"], json.loads(row.get("spans") or "[]"))
+
+
+def phrase_table(docs: DataFrame, patterns=None) -> DataFrame:
+    """(doc_id, relation, start, end): every phrase of a relation in the texts, longest first at a place."""
+    scanner = S.RelationScanner(patterns=patterns)
+    return _rows(docs, scanner.phrases, {"relation": "string", "start": "int", "end": "int"})
 
 
 def extract_relations(docs: DataFrame, entities: DataFrame, reach: int = 200, types: dict | None = None) -> DataFrame:
@@ -140,7 +176,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 def dependencies(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk, head, score): chunk numbers of each sentence's attachments."""
     def run(text):
-        return [{"chunk": i, "head": j, "score": s} for i, j, s in S.attach(S.chunk(text))]
+        return [{"chunk": i, "head": j, "score": s} for i, _, j, s in S.attach_sentences(text) if j is not None]
 
     return _rows(docs, run, {"chunk": "int", "head": "int", "score": "double"})
 
@@ -161,6 +197,14 @@ def svo_relations(docs: DataFrame, entities: DataFrame, rules: list[tuple], toke
     return _with_entities(docs, entities, lambda t, e: S.svo_pairs(t, e, rules, token_limit), {"subject": "string", "relation": "string", "object": "string", "confidence": "double"})
 
 
+def prepositional_relations(docs: DataFrame, entities: DataFrame, rules: list[tuple], token_limit: int = 12) -> DataFrame:
+    return _with_entities(docs, entities, lambda t, e: S.prepositional_pairs(t, e, rules, token_limit), {"subject": "string", "relation": "string", "object": "string", "confidence": "double"})
+
+
+def possession_relations(docs: DataFrame, entities: DataFrame, rules: list[tuple] = (), token_limit: int = 12) -> DataFrame:
+    return _with_entities(docs, entities, lambda t, e: S.possession_pairs(t, e, rules, token_limit), {"subject": "string", "relation": "string", "object": "string", "confidence": "double"})
+
+
 def attribute_dialogue(docs: DataFrame, cast: dict) -> DataFrame:
     """(doc_id, quote, start, end, speaker): cast is id -> (names, gender)."""
     return _rows(docs, lambda t: S.attribute_dialogue(t, S.Resolver(cast)), {"quote": "string", "start": "int", "end": "int", "speaker": "string"})
@@ -169,9 +213,8 @@ def attribute_dialogue(docs: DataFrame, cast: dict) -> DataFrame:
 def analyze_narrative(docs: DataFrame, cast: dict) -> DataFrame:
     """(doc_id, chunk, kind, text, head_chunk, entity): chunks, where they attach, and whom they name."""
     def run(text):
-        found, resolver = S.chunk(text), S.Resolver(cast)
-        heads = {i: j for i, j, _ in S.attach(found)}
-        return [{"chunk": i, "kind": c["kind"], "text": c["text"], "head_chunk": heads.get(i), "entity": resolver.resolve(c["head"]) if c["kind"] in ("NP", "PP") else None} for i, c in enumerate(found)]
+        resolver = S.Resolver(cast)
+        return [{"chunk": i, "kind": c["kind"], "text": c["text"], "head_chunk": j, "entity": resolver.resolve(c["head"]) if c["kind"] in ("NP", "PP") else None} for i, c, j, _ in S.attach_sentences(text)]
 
     return _rows(docs, run, {"chunk": "int", "kind": "string", "text": "string", "head_chunk": "int", "entity": "string"})
 
@@ -196,21 +239,26 @@ def concept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, pairs.withColumn("strength", F.least(F.lit(1.0), 0.5 + 0.1 * (F.col("n") - 1)))
 
 
-# -- link and entity syntax in columns -------------------------------------------------
+# -- link and entity syntax ------------------------------------------------------------
 
+#: Kinds of links and their syntax.
 LINKS = {"wikilink": r"\[\[([^\]\|]+)(?:\|[^\]]+)?\]\]", "entity": r"\[[A-Z_]+(?::[A-Z_]+)?\|([^\]\|]+)(?:\|\{[^}]+\})?\]", "mention": r"@([\w\-]+)", "backlink": r"<<([^>\|]+)(?:\|[^>]+)?>>"}
 
 
-def parse_links(docs: DataFrame) -> DataFrame:
-    """(doc_id, link_type, target, context): 40 characters on each side, with dots where cut."""
-    out = None
-    for kind, pattern in LINKS.items():
-        hits = docs.select("doc_id", "text", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("target"), F.lit(kind).alias("link_type"))
-        out = hits if out is None else out.unionByName(hits)
-    at = F.instr(F.col("text"), F.col("target"))
-    low, high = F.greatest(at - 40, F.lit(1)), F.least(at + F.length("target") + 40, F.length("text") + 1)
-    context = F.concat(F.when(low > 1, "...").otherwise(""), F.substring("text", low, high - low), F.when(high <= F.length("text"), "...").otherwise(""))
-    return out.select("doc_id", "link_type", F.trim("target").alias("target"), context.alias("context"))
+def parse_links(docs: DataFrame, around: int = 40) -> DataFrame:
+    """(doc_id, link_type, target, start, context): ``around`` characters on each side of the link, with dots where cut."""
+    patterns = [(kind, re.compile(p, re.ASCII)) for kind, p in LINKS.items()]
+
+    def run(text):
+        out = []
+        for kind, pattern in patterns:
+            for m in pattern.finditer(text):
+                low, high = max(0, m.start() - around), min(len(text), m.end() + around)
+                context = "..." * (low > 0) + text[low:high] + "..." * (high < len(text))
+                out.append({"link_type": kind, "target": m[1].strip(), "start": m.start(), "context": context})
+        return out
+
+    return _rows(docs, run, {"link_type": "string", "target": "string", "start": "int", "context": "string"})
 
 
 def backlinks(links: DataFrame) -> DataFrame:
@@ -226,16 +274,28 @@ def link_relevance(position_kind: Column, context: Column) -> Column:
 
 
 def fuzzy_match(names: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
-    """(name, entity_id, distance): the nearest entity name or alias within ``most`` edits, blocked on length and first letter or ending.
+    """(name, entity_id, distance): the nearest entity name or alias within ``most`` edits.
 
-    names (name); entities (id, label, aliases).  A name within d edits differs
-    in length by d at most, so only such lengths are joined.
+    names (name); entities (id, label, aliases).  An alias is cut into most + 1
+    parts; within that many edits one part stays whole in the name, at most
+    ``most`` places off, so only names and aliases that share a part at such a
+    place meet, and none within the distance is missed.
     """
     every = entities.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
-    right = every.select("entity_id", F.lower("alias").alias("alias"), F.length("alias").alias("len")).distinct()
-    left = names.select("name", F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("len")).distinct()
+    right = every.select("entity_id", F.lower("alias").alias("alias")).where("alias is not null").distinct()
+    k = most + 1
+    begin = lambda size, i: F.floor(size * i / k).cast("int")
+    size = F.length("alias")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(size.alias("size"), i.alias("part"), F.expr("alias").substr(begin(size, i) + 1, begin(size, i + 1) - begin(size, i)).alias("text")))
+    right = right.select("entity_id", "alias", F.inline(parts))
+    low, length = F.lower("name"), F.length("name")
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+    keys = F.transform(F.sequence(F.greatest(length - most, F.lit(0)), length + most), lambda n: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.transform(shifts, lambda d: F.struct(
+        n.cast("int").alias("size"), i.alias("part"), F.when(begin(n, i) + d >= 0, low.substr(begin(n, i) + d + 1, begin(n, i + 1) - begin(n, i))).alias("text")))))
+    left = names.select("name").where("name is not null").distinct().select("name", F.explode(F.array_distinct(F.flatten(F.flatten(keys)))).alias("k")).select("name", "k.*").where("text is not null")
+    near = left.join(right, ["size", "part", "text"]).select("name", "entity_id", "alias").distinct()
     d = F.levenshtein(F.lower("name"), F.col("alias"), most)
-    best = left.join(right, "len").withColumn("d", d).where(F.col("d") >= 0).groupBy("name").agg(F.min(F.struct("d", "entity_id")).alias("b"))
+    best = near.withColumn("d", d).where(F.col("d") >= 0).groupBy("name").agg(F.min(F.struct("d", "entity_id")).alias("b"))
     return best.select("name", "b.entity_id", F.col("b.d").alias("distance"))
 
 

@@ -18,11 +18,21 @@ def _levels(first: int, depth: int | None):
     return count(first) if depth is None else range(first, depth + 1)
 
 
+def shared_dir(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; where unset, a temporary one if all run on this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "/tmp/checkpoints"
+    return path.rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared folder of ``spark.checkpoint.dir``, set only where unset."""
+    """Lineage cut in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -176,22 +176,27 @@ def c_top(t):
     return c_pmi(t).where("weight >= 1 AND pmi_score >= 3").orderBy(F.desc("weight"), F.desc("pmi_score"), "a", "b").limit(100)
 
 
-_TOK = r"""w AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS ts FROM documents WHERE lang = 'en' AND n_chars < 2000))"""
+_TOK = r"""w AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 2) AS ts FROM documents))"""
 
 
 def terms(t):
-    w = t.documents.where("lang = 'en' AND n_chars < 2000").select("doc_id", F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 2)).alias("pos", "term"))
+    w = t.documents.select("doc_id", F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 2)).alias("pos", "term"))
     return w
 
 
-@query("c_word_window", f"WITH {_TOK}, k AS (SELECT term FROM w GROUP BY 1 HAVING count(*) BETWEEN 20 AND 60), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM k)) SELECT l.doc_id, l.term AS a, r.term AS b, greatest(1, 5 - (r.pos - l.pos) + 1) AS weight FROM e l JOIN e r ON l.doc_id = r.doc_id AND r.pos > l.pos AND r.pos - l.pos <= 5 AND l.term <> r.term")
-def c_words(t):
+def known_terms(t):
+    """Places of the entities: the 200 most frequent terms of six letters and more."""
     w = terms(t)
-    known = w.groupBy("term").agg(F.count("*").alias("n")).where("n between 20 and 60")
-    return C.word_window(w.join(known.select("term"), "term", "left_semi"), 5)
+    top = w.where(F.length("term") >= 6).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(200)
+    return w.join(F.broadcast(top.select("term")), "term", "left_semi")
+
 
+@query("c_word_window", f"WITH {_TOK}, k AS (SELECT term FROM w WHERE length(term) >= 6 GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 200), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM k)) SELECT l.doc_id, l.term AS a, r.term AS b, greatest(1, 5 - (r.pos - l.pos) + 1) AS weight FROM e l JOIN e r ON l.doc_id = r.doc_id AND r.pos > l.pos AND r.pos - l.pos <= 5 AND l.term <> r.term")
+def c_words(t):
+    return C.word_window(known_terms(t), 5)
 
-@query("c_aggregate_word_edges", f"WITH {_TOK}, k AS (SELECT term FROM w GROUP BY 1 HAVING count(*) BETWEEN 20 AND 60), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM k)), p AS (SELECT l.doc_id, l.term AS a, r.term AS b, greatest(1, 5 - (r.pos - l.pos) + 1) AS weight FROM e l JOIN e r ON l.doc_id = r.doc_id AND r.pos > l.pos AND r.pos - l.pos <= 5 AND l.term <> r.term) SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT doc_id) AS episodes FROM p GROUP BY 1, 2")
+
+@query("c_aggregate_word_edges", f"WITH {_TOK}, k AS (SELECT term FROM w WHERE length(term) >= 6 GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 200), e AS (SELECT * FROM w WHERE term IN (SELECT term FROM k)), p AS (SELECT l.doc_id, l.term AS a, r.term AS b, greatest(1, 5 - (r.pos - l.pos) + 1) AS weight FROM e l JOIN e r ON l.doc_id = r.doc_id AND r.pos > l.pos AND r.pos - l.pos <= 5 AND l.term <> r.term) SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS BIGINT) AS weight, count(DISTINCT doc_id) AS episodes FROM p GROUP BY 1, 2")
 def c_word_edges(t):
     return C.aggregate_edges(c_words(t)).select("a", "b", "weight", F.size("episode_ids").cast("long").alias("episodes"))
 
@@ -222,17 +227,18 @@ def c_key(t):
     return t.lineitem.select(C.edge_key(F.col("l_suppkey"), F.col("l_partkey")).alias("k")).distinct()
 
 
-@query("c_term_graph_edges", f"WITH {_TOK}, k AS (SELECT term FROM w GROUP BY 1 HAVING count(*) BETWEEN 15 AND 40), d AS (SELECT DISTINCT doc_id, term FROM w WHERE term IN (SELECT term FROM k)) SELECT l.term AS a, r.term AS b, count(*) AS weight FROM d l JOIN d r ON l.doc_id = r.doc_id AND l.term < r.term GROUP BY 1, 2")
+@query("c_term_graph_edges", f"WITH {_TOK}, k AS (SELECT term FROM w WHERE length(term) >= 6 GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 200), d AS (SELECT DISTINCT doc_id, term FROM w WHERE term IN (SELECT term FROM k)) SELECT l.term AS a, r.term AS b, count(*) AS weight FROM d l JOIN d r ON l.doc_id = r.doc_id AND l.term < r.term GROUP BY 1, 2")
 def c_terms(t):
-    w = terms(t)
-    known = w.groupBy("term").agg(F.count("*").alias("n")).where("n between 15 and 40")
-    return C.term_graph(w.join(known.select("term"), "term", "left_semi"))[1]
+    return C.term_graph(known_terms(t))[1]
 
 
 @query("c_causal_links")
 def c_causal(t):
-    docs = t.documents.select("doc_id", F.concat_ws(" caused ", F.element_at(F.split("text", r"\W+"), 1), F.element_at(F.split("text", r"\W+"), 2)).alias("text"))
-    return C.causal_links(docs, docs.select(F.explode(F.split(F.lower("text"), " caused ")).alias("name")))
+    w = F.split("text", r"\W+")
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
+    docs = t.documents.select("doc_id", F.concat(F.lit("The "), at(0), F.lit(" of old caused much "), at(1), F.lit(".\n"), F.col("text")).alias("text"), at(0).alias("a"), at(1).alias("b"))
+    events = docs.select("doc_id", F.inline(F.array(F.struct(F.lit(1).alias("event_id"), F.col("a").alias("name")), F.struct(F.lit(2).alias("event_id"), F.col("b").alias("name")))))
+    return C.causal_links(docs, events)
 
 
 @query("j_anti_join_orphans", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")

@@ -62,11 +62,11 @@ def _top(df):
     return df.select("doc_id", F.round("proximity", 6).alias("proximity"), F.col("phrase").cast("double").alias("phrase"), F.round("score", 6).alias("score"))
 
 
-@query("b_tokenize", rf"SELECT doc_id, len({_BODY}) AS tokens, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 2)) AS ascii_tokens FROM documents WHERE lang = 'en'")
+@query("b_tokenize", rf"SELECT doc_id, len({_BODY}) AS tokens, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 2)) AS ascii_tokens FROM documents")
 def b_tokenize(t):
     from tessera.functions.text import tokenize, tokenize_alnum
 
-    return t.documents.where("lang = 'en'").select("doc_id", F.size(tokenize(F.col("text"))).cast("long").alias("tokens"), F.size(tokenize_alnum(F.col("text"))).cast("long").alias("ascii_tokens"))
+    return t.documents.select("doc_id", F.size(tokenize(F.col("text"))).cast("long").alias("tokens"), F.size(tokenize_alnum(F.col("text"))).cast("long").alias("ascii_tokens"))
 
 
 @query("b_postings_and_segments", f"WITH {_POST} SELECT doc_id, field, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, bit_or(mask) AS mask FROM p GROUP BY 1, 2")
@@ -204,15 +204,18 @@ def e_episodes(t):
 
 
 def marked(t):
-    """Documents with the link syntax of notes, made from their words."""
+    """Whole documents after a sentence with the link syntax of notes, made from their words."""
     w = F.split("text", r"\W+")
     at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
-    text = F.concat(F.lit("See [["), at(0), F.lit("]] and [CHARACTER|"), at(1), F.lit("] met #"), at(2), F.lit(" with @"), at(3), F.lit(" near <<"), at(4), F.lit(">> the next day. "), at(5), F.lit(" defeated "), at(6), F.lit(" in chapter 4."))
-    return t.documents.where("lang = 'en'").select("doc_id", text.alias("text"))
+    text = F.concat(F.lit("See [["), at(0), F.lit("]] and [CHARACTER|"), at(1), F.lit("] met #"), at(2), F.lit(" with @"), at(3), F.lit(" near <<"), at(4), F.lit(">> the next day. "), at(5), F.lit(" defeated "), at(6), F.lit(" in chapter 4.\n"), F.col("text"))
+    return t.documents.select("doc_id", text.alias("text"))
 
 
-_MARKED = r"""w AS (SELECT doc_id, regexp_split_to_array(text, '[^a-zA-Z0-9_]+') AS a FROM documents WHERE lang = 'en'),
-m AS (SELECT doc_id, 'See [[' || coalesce(a[1], 'x') || ']] and [CHARACTER|' || coalesce(a[2], 'x') || '] met #' || coalesce(a[3], 'x') || ' with @' || coalesce(a[4], 'x') || ' near <<' || coalesce(a[5], 'x') || '>> the next day. ' AS text FROM w)"""
+_MARKED = r"""w AS (SELECT doc_id, text, regexp_split_to_array(text, '[^a-zA-Z0-9_]+') AS a FROM documents),
+m AS (SELECT doc_id, 'See [[' || coalesce(a[1], 'x') || ']] and [CHARACTER|' || coalesce(a[2], 'x') || '] met #' || coalesce(a[3], 'x') || ' with @' || coalesce(a[4], 'x') || ' near <<' || coalesce(a[5], 'x') || '>> the next day. ' || coalesce(a[6], 'x') || ' defeated ' || coalesce(a[7], 'x') || ' in chapter 4.' || chr(10) || text AS text FROM w)"""
+#: Words of letters a-z alone, 6 to 12 long; the 200 most frequent are the dictionary.
+_WORDS = r"""w AS (SELECT x AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_''-]+')) AS x FROM documents) WHERE regexp_full_match(x, '[a-z]{6,12}')),
+d AS (SELECT w FROM w GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 200)"""
 
 
 @query("t_unified_scan")
@@ -243,26 +246,25 @@ def t_back(t):
 
 def dictionary(t):
     """Frequent words of the corpus as entities."""
-    w = t.documents.where("lang = 'en'").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([a-z]{6,12})\b"), F.lit(1))).alias("w"))
+    w = t.documents.select(F.explode(F.split("text", r"[^\p{L}\p{N}_'-]+")).alias("w")).where(F.col("w").rlike("^[a-z]{6,12}$"))
     top = w.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(200)
     return top.select(F.col("w").alias("id"), F.col("w").alias("label"), F.lit("CONCEPT").alias("kind"), F.array().cast("array<string>").alias("aliases"))
 
 
 @query("t_dictionary_mentions")
 def t_mentions(t):
-    return scanning.find_mentions(t.documents.where("lang = 'en'"), dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return scanning.find_mentions(t.documents, dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
 @query("t_reflex_mentions")
 def t_exact(t):
-    return scanning.find_exact(t.documents.where("lang = 'en'"), dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return scanning.find_exact(t.documents, dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
-@query("t_mentions_by_ngram_join", r"""WITH w AS (SELECT lower(unnest(regexp_extract_all(text, '\b([a-z]{6,12})\b', 1))) AS w FROM documents WHERE lang = 'en'),
-d AS (SELECT w FROM w GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 200), k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}''-]+'), lambda x: x <> '')) AS g FROM documents WHERE lang = 'en')
+@query("t_mentions_by_ngram_join", rf"""WITH {_WORDS}, k AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}''-]+'), lambda x: x <> '')) AS g FROM documents)
 SELECT g AS entity_id, count(*) AS n FROM k JOIN d ON g = w GROUP BY 1""")
 def t_ngram(t):
-    return scanning.find_mentions_by_join(t.documents.where("lang = 'en'"), dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return scanning.find_mentions_by_join(t.documents, dictionary(t)).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
 @query("t_temporal_mentions")
@@ -272,15 +274,14 @@ def t_temporal(t):
 
 @query("t_relations")
 def t_relations(t):
-    return scanning.extract_relations(t.documents.where("lang = 'en'"), dictionary(t))
+    return scanning.extract_relations(t.documents, dictionary(t))
 
 
 @query("t_relations_as_of_join")
 def t_as_of(t):
     docs = marked(t)
     m = scanning.scan_syntax(docs).where("kind IN ('wikilink', 'entity', 'mention')").select("doc_id", F.col("label").alias("entity_id"), "start", "end")
-    p = docs.select("doc_id", F.lit("MET").alias("relation"), (F.instr("text", " met ") - 1).alias("start"), (F.instr("text", " met ") + 4).alias("end"))
-    return scanning.relations_as_of(p, m)
+    return scanning.relations_as_of(scanning.phrase_table(docs), m)
 
 
 @query("t_chunks")
@@ -295,18 +296,25 @@ def t_dep(t):
 
 @query("t_structured_relations")
 def t_structured(t):
-    return scanning.structured_relations(t.documents.where("lang = 'en' AND n_chars < 3000"), dictionary(t)).drop("modifiers")
+    return scanning.structured_relations(t.documents, dictionary(t)).drop("modifiers")
 
 
 @query("t_quads_and_state_changes")
 def t_quads(t):
-    docs = t.documents.where("lang = 'en' AND n_chars < 3000")
+    docs = t.documents
     return scanning.quads(docs, dictionary(t)).select("doc_id", "subject", "verb", "object").unionByName(scanning.state_changes(docs, dictionary(t)).select("doc_id", F.col("entity").alias("subject"), F.lit("STATE").alias("verb"), F.col("state").alias("object")))
 
 
 @query("t_svo_rules")
 def t_svo(t):
-    return scanning.svo_relations(t.documents.where("lang = 'en' AND n_chars < 3000"), dictionary(t), [("KNOWS", {"know", "knew", "known"}, None, None, 0.8)])
+    return scanning.svo_relations(t.documents, dictionary(t), [("KNOWS", {"know", "knew", "known"}, None, None, 0.8)])
+
+
+@query("t_prepositional_and_possession")
+def t_prepositions(t):
+    docs, d = t.documents, dictionary(t)
+    near = scanning.prepositional_relations(docs, d, [("LOCATED_IN", {"in", "at"}, None, None, 0.7), ("WITH", {"with"}, None, None, 0.6)])
+    return near.unionByName(scanning.possession_relations(docs, d))
 
 
 @query("t_dialogue")
@@ -328,14 +336,14 @@ def t_spans(t):
 
 @query("t_concepts")
 def t_concepts(t):
-    return scanning.concept_counts(t.documents.where("lang = 'en' AND n_chars < 1000"))[1].where("n > 1")
+    return scanning.concept_counts(t.documents)[1].where("n > 1")
 
 
-@query("t_fuzzy_names", """WITH e AS (SELECT s_suppkey AS entity_id, lower(s_name) AS a FROM supplier), n AS (SELECT DISTINCT lower(s_name) || 'x' AS name FROM supplier WHERE s_suppkey % 9 = 0),
+@query("t_fuzzy_names", """WITH e AS (SELECT s_suppkey AS entity_id, lower(s_name) AS a FROM supplier), n AS (SELECT DISTINCT lower(s_name) || 'x' AS name FROM supplier),
 c AS (SELECT name, entity_id, levenshtein(name, a) AS d FROM n, e WHERE abs(length(name) - length(a)) <= 3) SELECT name, arg_min(entity_id, struct_pack(x := d, y := entity_id)) AS entity_id, CAST(min(d) AS BIGINT) AS distance FROM c WHERE d <= 3 GROUP BY 1""")
 def t_fuzzy(t):
     e = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.array().cast("array<string>").alias("aliases"))
-    n = t.supplier.where("s_suppkey % 9 = 0").select(F.concat(F.lower("s_name"), F.lit("x")).alias("name"))
+    n = t.supplier.select(F.concat(F.lower("s_name"), F.lit("x")).alias("name"))
     return scanning.fuzzy_match(n, e).withColumn("distance", F.col("distance").cast("long"))
 
 

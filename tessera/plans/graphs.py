@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph_metrics as G
@@ -22,12 +23,24 @@ _TREE = """t AS (SELECT CAST(0 AS BIGINT) AS source, CAST(r_regionkey + 1 AS BIG
 
 
 def web(t):
-    """A directed graph with cycles: suppliers that share parts, on 60 nodes."""
-    li = t.lineitem
-    return li.groupBy((F.col("l_suppkey") % 60).alias("source"), (F.col("l_partkey") % 60).alias("target")).agg(F.count("*").alias("weight")).where("source <> target AND (source * 7 + target * 3) % 19 = 0")
+    """Suppliers and the parts they sold as one numbering: a directed graph with cycles, an edge for every pair in lineitem."""
+    pairs = t.lineitem.groupBy(F.col("l_suppkey").cast("long").alias("source"), F.col("l_partkey").cast("long").alias("target"))
+    return pairs.agg(F.count("*").alias("weight")).where("source <> target")
 
 
-_WEB = "e AS (SELECT l_suppkey % 60 AS source, l_partkey % 60 AS target, count(*) AS weight FROM lineitem GROUP BY 1, 2 HAVING l_suppkey % 60 <> l_partkey % 60 AND (l_suppkey % 60 * 7 + l_partkey % 60 * 3) % 19 = 0)"
+def trade(t):
+    """Orders between different nations of a region: source the customer's, target the supplier's, group_id the region."""
+    n = t.nation.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_regionkey").cast("long").alias("region"))
+    customers = t.customer.join(F.broadcast(n), F.col("c_nationkey") == F.col("key")).select("c_custkey", F.col("key").alias("source"), F.col("region").alias("group_id"))
+    suppliers = t.supplier.join(F.broadcast(n), F.col("s_nationkey") == F.col("key")).select("s_suppkey", F.col("key").alias("target"), F.col("region").alias("other"))
+    sold = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
+    both = sold.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return both.where("group_id = other AND source <> target").groupBy("source", "target", "group_id").agg(F.sum("n").alias("weight"))
+
+
+_WEB = "e AS (SELECT CAST(l_suppkey AS BIGINT) AS source, CAST(l_partkey AS BIGINT) AS target, count(*) AS weight FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY 1, 2)"
+_TRADE = """e AS (SELECT CAST(c_nationkey AS BIGINT) AS source, CAST(s_nationkey AS BIGINT) AS target, CAST(a.n_regionkey AS BIGINT) AS group_id, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey = b.n_regionkey AND c_nationkey <> s_nationkey GROUP BY 1, 2, 3)"""
 _BOTH = "b AS (SELECT source, target FROM e UNION SELECT target, source FROM e)"
 
 
@@ -46,45 +59,43 @@ def r_closure(t):
     return T.closure(tree(t))
 
 
-@query("r_within_hops_directed", f"WITH RECURSIVE {_WEB}, c(node, d) AS (SELECT 3, 0 UNION SELECT e.target, c.d + 1 FROM c JOIN e ON e.source = c.node WHERE c.d < 3) SELECT node, min(d) AS distance FROM c GROUP BY 1 HAVING min(d) > 0")
+@query("r_within_hops_directed", f"WITH RECURSIVE {_WEB}, c(node, d) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT e.target, c.d + 1 FROM c JOIN e ON e.source = c.node WHERE c.d < 3) SELECT node, min(d) AS distance FROM c GROUP BY 1 HAVING min(d) > 0")
 def r_hops(t):
-    return T.within_hops(web(t).withColumn("source", F.col("source").cast("int")).withColumn("target", F.col("target").cast("int")), 3, 3)
+    return T.within_hops(web(t), F.lit(3).cast("long"), 3)
 
 
-@query("r_causal_chain_bounded", f"WITH RECURSIVE {_WEB}, c(node, d) AS (SELECT 5, 0 UNION SELECT e.target, c.d + 1 FROM c JOIN e ON e.source = c.node WHERE c.d < 5 AND e.weight > 15) SELECT count(DISTINCT node) AS n FROM c WHERE node <> 5")
+@query("r_causal_chain_bounded", f"WITH RECURSIVE {_WEB}, c(node, d) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT e.target, c.d + 1 FROM c JOIN e ON e.source = c.node WHERE c.d < 5 AND e.weight > 1) SELECT count(DISTINCT node) AS n FROM c WHERE node <> 5")
 def r_chain(t):
-    return T.within_hops(web(t).where("weight > 15"), 5, 5).agg(F.count("*").alias("n"))
+    return T.within_hops(web(t).where("weight > 1"), F.lit(5).cast("long"), 5).agg(F.count("*").alias("n"))
 
 
-@query("r_shortest_path", f"WITH RECURSIVE {_WEB}, {_BOTH}, c(node, path, d) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0 UNION ALL SELECT b.target, list_append(c.path, b.target), c.d + 1 FROM c JOIN b ON b.source = c.node WHERE c.d < 4 AND NOT list_contains(c.path, b.target)) SELECT min(d) AS hops FROM c WHERE node = 25")
+@query("r_shortest_path", f"WITH RECURSIVE {_WEB}, {_BOTH}, c(node, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT b.target, c.d + 1 FROM c JOIN b ON b.source = c.node WHERE c.d < 4) SELECT min(d) AS hops FROM c WHERE node = 150")
 def r_path(t):
-    e = web(t).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))
-    return T.shortest_path(e, F.lit(1).cast("long"), F.lit(25).cast("long")).select("hops")
+    return T.shortest_path(web(t).select("source", "target"), F.lit(1).cast("long"), F.lit(150).cast("long")).select("hops")
 
 
-@query("r_k_shortest_paths", f"WITH RECURSIVE {_WEB}, {_BOTH}, c(node, path, d) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0 UNION ALL SELECT b.target, list_append(c.path, CAST(b.target AS BIGINT)), c.d + 1 FROM c JOIN b ON b.source = c.node WHERE c.d < 4 AND c.node <> 25 AND NOT list_contains(c.path, b.target)) SELECT array_to_string(path, '>') AS path, d AS hops FROM c WHERE node = 25 ORDER BY d, c.path LIMIT 3")
+@query("r_k_shortest_paths", f"WITH RECURSIVE {_TRADE}, {_BOTH}, c(node, path, d) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)], 0 UNION ALL SELECT b.target, list_append(c.path, CAST(b.target AS BIGINT)), c.d + 1 FROM c JOIN b ON b.source = c.node WHERE c.d < 4 AND c.node <> 16 AND NOT list_contains(c.path, b.target)) SELECT array_to_string(path, '>') AS path, d AS hops FROM c WHERE node = 16 ORDER BY d, c.path LIMIT 3")
 def r_kpaths(t):
-    e = web(t).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"))
-    return T.k_shortest_paths(e, F.lit(1).cast("long"), F.lit(25).cast("long"), 3, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
+    return T.k_shortest_paths(trade(t).select("source", "target"), F.lit(1).cast("long"), F.lit(16).cast("long"), 3, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
 
 
-@query("r_labelled_path")
+@query("r_labelled_path", f"WITH RECURSIVE {_WEB}, {_BOTH}, c(node, d) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT b.target, c.d + 1 FROM c JOIN b ON b.source = c.node WHERE c.d < 4) SELECT array_to_string(list_transform(range(min(d)), lambda x: 'LINKS'), ',') AS types, min(d) AS hops FROM c WHERE node = 150")
 def r_labelled(t):
-    e = web(t).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.lit("LINKS").alias("type"))
-    return T.shortest_path(e, F.lit(1).cast("long"), F.lit(25).cast("long"), labels=True).select(F.array_join("types", ",").alias("types"), "hops")
+    e = web(t).select("source", "target", F.lit("LINKS").alias("type"))
+    return T.shortest_path(e, F.lit(1).cast("long"), F.lit(150).cast("long"), labels=True).select(F.array_join("types", ",").alias("types"), "hops")
 
 
 @query("r_weighted_traversal")
 def r_weighted(t):
-    e = web(t).select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), (F.col("weight") / 40).alias("weight"), (F.col("source") % 2 == 0).alias("bidirectional"), F.col("weight").alias("seq"))
+    e = trade(t).select("source", "target", (F.col("weight") / F.max("weight").over(Window.partitionBy("group_id"))).alias("weight"), (F.col("source") % 2 == 0).alias("bidirectional"), F.col("weight").alias("seq"))
     return T.weighted_traverse(e, F.lit(2).cast("long")).withColumn("path_weight", F.round("path_weight", 6))
 
 
-@query("r_expand_results", f"""WITH {_WEB}, m AS (SELECT l_orderkey AS note_id, l_partkey % 60 AS entity_id FROM lineitem), r AS (SELECT DISTINCT note_id FROM m WHERE note_id <= 10),
+@query("r_expand_results", f"""WITH {_WEB}, m AS (SELECT l_orderkey AS note_id, CAST(l_partkey AS BIGINT) AS entity_id FROM lineitem), r AS (SELECT DISTINCT note_id FROM m WHERE note_id <= 10),
 s AS (SELECT DISTINCT entity_id FROM m WHERE note_id IN (SELECT note_id FROM r)), n AS (SELECT entity_id FROM s UNION SELECT target FROM e WHERE source IN (SELECT entity_id FROM s) UNION SELECT source FROM e WHERE target IN (SELECT entity_id FROM s))
 SELECT note_id, 1.0 AS score, 0 AS distance FROM r UNION ALL SELECT DISTINCT note_id, 0.5, 1 FROM m WHERE entity_id IN (SELECT entity_id FROM n) AND note_id NOT IN (SELECT note_id FROM r)""")
 def r_expand(t):
-    m = t.lineitem.select(F.col("l_orderkey").alias("note_id"), (F.col("l_partkey") % 60).alias("entity_id"))
+    m = t.lineitem.select(F.col("l_orderkey").alias("note_id"), F.col("l_partkey").cast("long").alias("entity_id"))
     r = m.where("note_id <= 10").select("note_id", F.lit(1.0).alias("score")).distinct()
     return T.expand_results(r, m, web(t), 2)
 
@@ -112,9 +123,9 @@ def r_family(t):
     return T.family_unit(e, 103).unionByName(T.members_by_relationship(e.where("source < 2"), "PARENT_OF").withColumn("relation", F.lit("member")))
 
 
-@query("r_cycle_nodes", f"WITH RECURSIVE {_WEB}, f AS (SELECT * FROM e WHERE weight > 18), c(s, n) AS (SELECT source, target FROM f UNION SELECT c.s, f.target FROM c JOIN f ON f.source = c.n) SELECT DISTINCT s AS node FROM c WHERE s = n")
+@query("r_cycle_nodes", f"WITH RECURSIVE {_TRADE}, f AS (SELECT * FROM e), c(s, n) AS (SELECT source, target FROM f UNION SELECT c.s, f.target FROM c JOIN f ON f.source = c.n) SELECT DISTINCT s AS node FROM c WHERE s = n")
 def r_cycles(t):
-    return T.has_cycle(web(t).where("weight > 18"))
+    return T.has_cycle(trade(t))
 
 
 @query("r_subgraph", f"WITH {_WEB}, {_BOTH}, n AS (SELECT 4 AS x UNION SELECT target FROM b WHERE source = 4) SELECT source, target, weight FROM e WHERE source IN (SELECT x FROM n) AND target IN (SELECT x FROM n)")
@@ -162,16 +173,16 @@ def g_pagerank(t):
 def _flow_sql(n_iter):
     step = f"WITH {_WEB}, d AS (SELECT source, count(*) AS deg FROM e GROUP BY 1), v AS (SELECT source AS node FROM e UNION SELECT target FROM e), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT node, 1.0 / (SELECT n FROM n) AS s FROM v)"
     for i in range(n_iter):
-        step += f", r{i + 1} AS (SELECT v.node, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(sum(q.s / d.deg * (e.weight / 40.0)), 0) AS s FROM v LEFT JOIN e ON e.target = v.node LEFT JOIN r{i} q ON q.node = e.source LEFT JOIN d ON d.source = e.source GROUP BY 1)"
+        step += f", r{i + 1} AS (SELECT v.node, 0.15 / (SELECT n FROM n) + 0.85 * coalesce(sum(q.s / d.deg * (e.weight / 10.0)), 0) AS s FROM v LEFT JOIN e ON e.target = v.node LEFT JOIN r{i} q ON q.node = e.source LEFT JOIN d ON d.source = e.source GROUP BY 1)"
     return step
 
 
 @query("g_flow_centrality", _flow_sql(10) + " SELECT node, round(s, 7) AS score FROM r10")
 def g_flow(t):
-    return G.flow_centrality(web(t).withColumn("weight", F.col("weight") / 40.0)).select("node", F.round("score", 7).alias("score"))
+    return G.flow_centrality(web(t).withColumn("weight", F.col("weight") / 10.0)).select("node", F.round("score", 7).alias("score"))
 
 
-@query("g_importance_ratio")
+@query("g_importance_ratio", _rank_sql(5) + ", x AS (SELECT node, count(*) AS total FROM (SELECT source AS node FROM e UNION ALL SELECT target FROM e) GROUP BY 1) SELECT node, round(s / total, 7) AS ratio FROM r5 JOIN x USING (node)")
 def g_ratio(t):
     return G.compare_importance(G.pagerank(web(t), iterations=5), G.degree(web(t))).select("node", F.round("ratio", 7).alias("ratio"))
 
@@ -181,14 +192,14 @@ def g_triangles(t):
     return G.triangles(web(t))
 
 
-@query("g_components", f"WITH RECURSIVE {_WEB}, f AS (SELECT * FROM e WHERE weight > 18), b AS (SELECT source, target FROM f UNION SELECT target, source FROM f), c(node, other) AS (SELECT source, source FROM b UNION SELECT c.node, b.target FROM c JOIN b ON b.source = c.other) SELECT node, min(other) AS component FROM c GROUP BY 1")
+@query("g_components", f"WITH RECURSIVE {_WEB}, f AS (SELECT * FROM e WHERE weight > 2), b AS (SELECT source, target FROM f UNION SELECT target, source FROM f), c(node, other) AS (SELECT source, source FROM b UNION SELECT c.node, b.target FROM c JOIN b ON b.source = c.other) SELECT node, min(other) AS component FROM c GROUP BY 1")
 def g_components(t):
-    return G.components(web(t).where("weight > 18"))
+    return G.components(web(t).where("weight > 2"))
 
 
-@query("g_orphans", f"WITH {_WEB} SELECT i AS node FROM range(80) r(i) WHERE i NOT IN (SELECT source FROM e UNION SELECT target FROM e)")
+@query("g_orphans", f"WITH {_WEB} SELECT CAST(p_partkey AS BIGINT) AS node FROM part WHERE p_partkey NOT IN (SELECT source FROM e WHERE weight > 1 UNION SELECT target FROM e WHERE weight > 1)")
 def g_orphans(t):
-    return G.orphans(t.spark.range(80).select(F.col("id").alias("node")), web(t))
+    return G.orphans(t.part.select(F.col("p_partkey").cast("long").alias("node")), web(t).where("weight > 1"))
 
 
 @query("g_graph_stats", f"WITH {_WEB}, v AS (SELECT source AS node FROM e UNION SELECT target FROM e) SELECT n AS nodes, m AS edges, round(2.0 * m / n, 6) AS avg_degree, round(2.0 * m / (n * (n - 1)), 6) AS density FROM (SELECT count(*) AS n FROM v), (SELECT count(*) AS m FROM e)")
@@ -203,7 +214,7 @@ def g_bridges(t):
 
 
 def grouped(t):
-    return web(t).withColumn("group_id", F.lit(1))
+    return trade(t)
 
 
 @query("g_label_propagation")
@@ -216,14 +227,14 @@ def g_communities(t):
     return G.communities(grouped(t), "group_id")
 
 
-@query("g_strong_components", f"WITH RECURSIVE {_WEB}, f AS (SELECT * FROM e WHERE weight > 18), v AS (SELECT source AS node FROM f UNION SELECT target FROM f), c(s, n) AS (SELECT node, node FROM v UNION SELECT c.s, f.target FROM c JOIN f ON f.source = c.n) SELECT 1 AS group_id, a.s AS node, min(a.n) AS component FROM c a JOIN c b ON a.s = b.n AND a.n = b.s GROUP BY 2")
+@query("g_strong_components", f"WITH RECURSIVE {_TRADE}, v AS (SELECT source AS node, group_id FROM e UNION SELECT target, group_id FROM e), c(g, s, n) AS (SELECT group_id, node, node FROM v UNION SELECT c.g, c.s, e.target FROM c JOIN e ON e.source = c.n) SELECT a.g AS group_id, a.s AS node, min(a.n) AS component FROM c a JOIN c b ON a.s = b.n AND a.n = b.s GROUP BY 1, 2")
 def g_strong(t):
-    return G.strongly_connected(grouped(t).where("weight > 18"), "group_id")
+    return G.strongly_connected(grouped(t), "group_id")
 
 
 @query("g_articulation_nodes")
 def g_critical(t):
-    return G.critical_nodes(grouped(t).where("weight > 18"), "group_id")
+    return G.critical_nodes(grouped(t), "group_id")
 
 
 @query("g_betweenness_closeness")
@@ -234,8 +245,8 @@ def g_between(t):
 
 @query("g_health_score")
 def g_health(t):
-    nodes = t.spark.range(70).select(F.lit(1).alias("group_id"), F.col("id").alias("node"))
-    return G.health(nodes, grouped(t).where("weight > 18"), "group_id")
+    nodes = t.nation.select(F.col("n_regionkey").cast("long").alias("group_id"), F.col("n_nationkey").cast("long").alias("node"))
+    return G.health(nodes, grouped(t), "group_id")
 
 
 @query("g_analytics_pipeline")
@@ -245,6 +256,6 @@ def g_analytics(t):
 
 @query("g_plot_holes")
 def g_holes(t):
-    e = web(t).where("weight > 18")
-    nodes = t.spark.range(70).select(F.col("id").alias("node"), (F.col("id") % 5).alias("frequency"))
-    return G.plot_holes(nodes, e, G.nodes_of(e).withColumn("community", F.col("node") % 9))
+    e = web(t).where("weight > 2")
+    nodes = t.part.select(F.col("p_partkey").cast("long").alias("node"), (F.col("p_size") % 5).alias("frequency"))
+    return G.plot_holes(nodes, e, G.nodes_of(e).withColumn("community", F.col("node") % 9))
\ No newline at end of file

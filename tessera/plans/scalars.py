@@ -135,11 +135,11 @@ def x_split(t):
     return t.documents.select("doc_id", F.size(T.words(c)).cast("long").alias("words"), F.size(T.sentences(c)).cast("long").alias("sentences"), F.size(T.paragraphs(c)).cast("long").alias("paragraphs"))
 
 
-@query("x_syllables", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en'),
+@query("x_syllables", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
 c AS (SELECT word, regexp_replace(regexp_replace(word, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', '') AS cut FROM w)
 SELECT word, CASE WHEN length(word) <= 3 THEN 1 ELSE greatest(len(regexp_extract_all(cut, '[aeiouy]{1,2}')), 1) END AS n FROM c""")
 def x_syll(t):
-    w = t.documents.where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    w = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     return w.select("word", T.syllables(F.col("word")).cast("long").alias("n"))
 
 
@@ -183,9 +183,9 @@ y AS (SELECT doc_id, sum(CASE WHEN length(w) <= 3 THEN 1 ELSE greatest(len(regex
 SELECT doc_id, round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 4) AS grade,
   CASE WHEN 0.39 * words / sentences + 11.8 * syllables / words - 15.59 < 1 THEN 'Kindergarten' WHEN 0.39 * words / sentences + 11.8 * syllables / words - 15.59 < 6 THEN '1st-5th Grade' WHEN 0.39 * words / sentences + 11.8 * syllables / words - 15.59 < 9 THEN '6th-8th Grade' WHEN 0.39 * words / sentences + 11.8 * syllables / words - 15.59 < 13 THEN '9th-12th Grade' WHEN 0.39 * words / sentences + 11.8 * syllables / words - 15.59 < 17 THEN 'College Level' ELSE 'Graduate Level' END AS level,
   CAST(ceil(words / 225.0) AS BIGINT) AS reading_minutes, CAST(ceil(words / 150.0) AS BIGINT) AS speaking_minutes
-FROM c JOIN y USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+FROM c JOIN y USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM documents)""")
 def x_level(t):
-    en = t.documents.where("lang = 'en'")
+    en = t.documents
     s = en.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.size(T.words(F.col("s")))).alias("words"))
     y = en.select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("doc_id").agg(F.sum(T.syllables(F.col("w"))).alias("syllables"))
     g = T.reading_grade(F.col("words"), F.col("sentences"), F.col("syllables"))
@@ -195,11 +195,11 @@ def x_level(t):
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
 
-@query("x_keyword_density", rf"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(text, '[^a-zA-Z0-9_\s''-]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents WHERE lang = 'en'),
+@query("x_keyword_density", rf"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(regexp_replace(text, '[^a-zA-Z0-9_\s''-]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents),
 k AS (SELECT regexp_replace(lower(word), '[^a-z''-]', '', 'g') AS kw FROM w)
 SELECT kw AS word, count(*) AS n, floor(count(*) * 1000.0 / (SELECT count(*) FROM w) + 0.5) / 10 AS pct FROM k WHERE length(kw) >= 4 AND kw NOT IN ({_STOP}) GROUP BY 1 ORDER BY n DESC, word LIMIT 100""")
 def x_keywords(t):
-    w = t.documents.where("lang = 'en'").select(F.explode(T.words(F.col("text"))).alias("w")).withColumn("word", T.keyword(F.col("w")))
+    w = t.documents.select(F.explode(T.words(F.col("text"))).alias("w")).withColumn("word", T.keyword(F.col("w")))
     per = w.groupBy("word").agg(F.count("*").alias("n"))
     total = F.broadcast(per.agg(F.sum("n").alias("all")))
     return per.where("word is not null").crossJoin(total).select("word", "n", X.round_half_up(F.col("n") * 100 / F.col("all"), 1).alias("pct")).orderBy(F.desc("n"), "word").limit(100)

@@ -188,10 +188,10 @@ def u_signals(t):
 
 def web(t):
     """Customers and suppliers as nodes, orders as edges."""
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy((F.col("o_custkey") % 60).alias("source"), (F.col("l_suppkey") % 60 + 30).alias("target")).agg((F.count("*") / 100).alias("weight"), F.min(F.when(F.col("l_returnflag") == "R", "causal").otherwise("temporal")).alias("kind")).where("source % 7 < 3 AND target % 5 < 2")
+    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").cast("long").alias("source"), (F.col("l_suppkey") + 1_000_000).cast("long").alias("target")).agg((F.count("*") / 100).alias("weight"), F.min(F.when(F.col("l_returnflag") == "R", "causal").otherwise("temporal")).alias("kind"))
 
 
-_WEB = "w AS (SELECT o_custkey % 60 AS source, l_suppkey % 60 + 30 AS target, count(*) / 100 AS weight, min(CASE WHEN l_returnflag = 'R' THEN 'causal' ELSE 'temporal' END) AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), e AS (SELECT * FROM w WHERE source % 7 < 3 AND target % 5 < 2)"
+_WEB = "e AS (SELECT o_custkey AS source, l_suppkey + 1000000 AS target, count(*) / 100 AS weight, min(CASE WHEN l_returnflag = 'R' THEN 'causal' ELSE 'temporal' END) AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
 
 
 @query("u_graph_signals", f"""WITH {_WEB}, b AS (SELECT source, target, weight, kind FROM e UNION ALL SELECT target, source, weight, kind FROM e), c AS (SELECT i AS id FROM range(30, 50) r(i)),

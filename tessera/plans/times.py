@@ -65,12 +65,12 @@ def d_provenance(t):
     return D.provenance(m, e, n, 9).select("episode_id", "valid_at", "c_name")
 
 
-@query("d_narrative_timeline", """SELECT p_partkey AS id, p_brand AS note, m.point, m.n AS participants FROM part JOIN (SELECT l_partkey, max(l_shipdate) AS point, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey <= 40 GROUP BY 1) m ON p_partkey = l_partkey WHERE p_size < 5""")
+@query("d_narrative_timeline", """SELECT p_partkey AS id, p_brand AS note, m.point, m.n AS participants FROM part JOIN (SELECT l_partkey, max(l_shipdate) AS point, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) m ON p_partkey = l_partkey WHERE p_size < 5""")
 def d_narrative(t):
     ents = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), F.when(F.col("p_size") < 5, "EVENT").otherwise("ITEM").alias("kind"), F.col("p_brand").alias("note_id"))
     notes = t.part.select(F.col("p_brand").alias("note_id")).distinct()
-    pts = t.lineitem.where("l_suppkey <= 40").select(F.col("l_partkey").alias("entity_id"), F.col("l_shipdate").alias("seq"), F.col("l_shipdate").alias("at"))
-    who = t.lineitem.where("l_suppkey <= 40").select(F.col("l_partkey").alias("event_id"), F.col("l_suppkey").alias("entity_id"))
+    pts = t.lineitem.select(F.col("l_partkey").alias("entity_id"), F.col("l_shipdate").alias("seq"), F.col("l_shipdate").alias("at"))
+    who = t.lineitem.select(F.col("l_partkey").alias("event_id"), F.col("l_suppkey").alias("entity_id"))
     out = D.narrative_timeline(ents, notes, pts, who, ["EVENT"]).where("point is not null")
     return out.select("id", F.col("note_id").alias("note"), F.col("point.at").alias("point"), F.size("participants").cast("long").alias("participants"))
 
@@ -119,16 +119,16 @@ def d_genesis(t):
     return D.genesis(t.spark, [("Flob", 30), ("Bork", 28), ("Zam", 31)], "cal")[1].select("source", "target")
 
 
-@query("d_temporal_relations", "WITH o AS (SELECT o_orderkey AS id, o_orderdate AS od FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT id AS source, lead(id) OVER w AS target, od, lead(od) OVER w AS n_od FROM o WINDOW w AS (ORDER BY od, id)) SELECT source, target, CASE WHEN n_od - od <= INTERVAL 1 DAY THEN 'CONCURRENT' ELSE 'PRECEDES' END AS type, CASE WHEN n_od - od <= INTERVAL 1 DAY THEN 0.72 ELSE 0.8 END AS confidence FROM n WHERE target IS NOT NULL")
+@query("d_temporal_relations", "WITH o AS (SELECT o_orderkey AS id, o_orderdate AS od FROM orders), n AS (SELECT id AS source, lead(id) OVER w AS target, od, lead(od) OVER w AS n_od FROM o WINDOW w AS (ORDER BY od, id)) SELECT source, target, CASE WHEN n_od - od <= INTERVAL 1 DAY THEN 'CONCURRENT' ELSE 'PRECEDES' END AS type, CASE WHEN n_od - od <= INTERVAL 1 DAY THEN 0.72 ELSE 0.8 END AS confidence FROM n WHERE target IS NOT NULL")
 def d_relations(t):
-    e = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit(None).cast("timestamp").alias("until"), F.lit("day").alias("granularity"))
+    e = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.lit(None).cast("timestamp").alias("until"), F.lit("day").alias("granularity"))
     return R.temporal_relations(e).withColumn("confidence", F.round("confidence", 4))
 
 
-@query("d_during_intervals", "WITH o AS (SELECT o_orderkey AS id, o_orderdate AS at, o_orderdate + INTERVAL 3 DAY * (o_orderkey % 4) AS until FROM orders WHERE o_orderkey % 50 = 0) SELECT i.id AS source, o.id AS target FROM o JOIN o i ON i.id <> o.id AND i.at >= o.at AND i.until <= o.until")
+@query("d_during_intervals", "WITH o AS (SELECT o_orderkey AS id, o_orderdate AS at, o_orderdate + INTERVAL 3 DAY * (o_orderkey % 4) AS until FROM orders) SELECT i.id AS source, o.id AS target FROM o JOIN o i ON i.id <> o.id AND i.at >= o.at AND i.until <= o.until")
 def d_during(t):
     u = F.timestamp_add("DAY", (F.col("o_orderkey") % 4 * 3).cast("int"), "o_orderdate")
-    e = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), u.alias("until"), F.lit("day").alias("granularity"))
+    e = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), u.alias("until"), F.lit("day").alias("granularity"))
     return R.temporal_relations(e).where("type = 'DURING'").select("source", "target")
 
 
