@@ -135,6 +135,12 @@ def causal_links(docs: DataFrame, events: DataFrame) -> DataFrame:
     return both.select("doc_id", F.col("cause_id").alias("cause"), F.col("effect_id").alias("effect"), "relation").distinct()
 
 
+def named_links(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Stored links (source, target, ...) with both ends' names from entities (id, name); links without both ends go."""
+    ends = {c: entities.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("source", "target")}
+    return links.join(ends["source"], "source").join(ends["target"], "target")
+
+
 def term_graph(tokens: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of terms by document: pairs of distinct terms with the documents that hold both counted."""
     distinct = tokens.select(doc, "term").distinct()

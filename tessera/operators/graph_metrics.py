@@ -81,11 +81,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     return ab.where(F.col("a") < F.col("b")).join(bc, "b").where(least_first).join(ca, ["c", "a"], "left_semi").agg(F.count("*").alias("triangles"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached undirected, by least-label spreading with pointer jumps."""
     links = _cut(undirected(edges).distinct())
     label = _cut(nodes_of(edges).withColumn("component", F.col("node")))
-    for _ in range(rounds):
+    while True:  # labels only fall, and jumps halve what is left of a chain
         near = links.join(label, links.target == label.node).groupBy(F.col("source").alias("node")).agg(F.min("component").alias("near"))
         spread = label.join(near, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("up"))
@@ -94,7 +94,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         label = spread.drop("old")
         if not changed:
             return label
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,14 +14,16 @@ from tessera.functions import ranking as R
 from tessera.functions.text import tokenize
 
 
-def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segments: int = 16, tokenizer=tokenize) -> DataFrame:
-    """(key, field, term, tf, field_length, mask): a row per document, field and term."""
+def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segments: int = 16, tokenizer=tokenize, doc_length: bool = False) -> DataFrame:
+    """(key, field, term, tf, field_length, mask): a row per document, field and term; with ``doc_length`` the document's tokens too."""
+    whole = [sum((F.size(tokenizer(c)) for c in fields.values()), F.lit(0)).cast("long").alias("doc_length")] if doc_length else []
     arms = None
     for name, text in fields.items():
-        arm = docs.select(F.col(key), F.lit(name).alias("field"), tokenizer(text).alias("tokens"))
+        arm = docs.select(F.col(key), F.lit(name).alias("field"), tokenizer(text).alias("tokens"), *whole)
         arms = arm if arms is None else arms.unionByName(arm)
-    rows = arms.select(key, "field", F.size("tokens").alias("field_length"), F.posexplode("tokens").alias("pos", "term"))
-    return rows.groupBy(key, "field", "term", "field_length").agg(
+    more = ["doc_length"] if doc_length else []
+    rows = arms.select(key, "field", F.size("tokens").alias("field_length"), *more, F.posexplode("tokens").alias("pos", "term"))
+    return rows.groupBy(key, "field", "term", "field_length", *more).agg(
         F.count("*").alias("tf"), F.bit_or(R.segment_bit(F.col("pos"), F.col("field_length"), segments)).alias("mask"))
 
 
@@ -66,7 +68,7 @@ def _query_frame(postings: DataFrame, terms: list[str], weights: list[float] | N
     return spark.range(1).select(F.posexplode(F.array(*[F.struct(F.lit(t).alias("term"), F.lit(float(w)).alias("boost")) for t, w in zip(terms, weights, strict=True)])).alias("ord", "q")).select("ord", "q.*")
 
 
-def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strategy: str = "global", entropy: bool = False, similarity: bool = False, phrase: bool = True, boosts: list[float] | None = None, options: dict | None = None, lengths: DataFrame | None = None) -> DataFrame:
+def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strategy: str = "global", entropy: bool = False, similarity: bool = False, phrase: bool = True, boosts: list[float] | None = None, options: dict | None = None, lengths: DataFrame | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Every document with a query term, its score and how it came about.
 
     strategy: 'global', 'idf', 'per_term', 'pairwise' or 'none' proximity.  A
@@ -78,8 +80,10 @@ def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strateg
     seg, single = o["segments"], len(terms) == 1
     query = F.broadcast(_query_frame(postings, terms, boosts))
     hits = postings.where(F.col("term").isin(terms)).join(query, "term")  # the filter goes below the postings' aggregation
-    lengths = postings.select(key, "field", "field_length").distinct() if lengths is None else lengths
-    corpus = F.broadcast(corpus_stats(lengths, key))
+    stored = ["doc_length"] if corpus is not None and "doc_length" in postings.columns else []
+    if not stored:
+        lengths = postings.select(key, "field", "field_length").distinct() if lengths is None else lengths
+    corpus = F.broadcast(corpus_stats(lengths, key) if corpus is None else corpus)
     per_doc_df = hits.groupBy("term", key).agg(F.sum("tf").alias("tf"))
     stats = per_doc_df.groupBy("term").agg(F.count("*").alias("df"), F.sum(R.entropy_part(F.col("tf"))).alias("raw_entropy"))
     stats = stats.withColumn("norm_entropy", F.lit(1.0) if single else F.col("raw_entropy") / F.greatest(F.max("raw_entropy").over(Window.partitionBy()), F.lit(1e-9)))
@@ -89,14 +93,15 @@ def score(postings: DataFrame, terms: list[str], key: str = "doc_id", *, strateg
         weight = F.when(F.col("field") == name, F.lit(float(w))).otherwise(weight)
     gamma = F.lit(o["gamma"]) * F.col("norm_entropy") if entropy else F.lit(0.0)
     ntf = R.normalized_tf(F.col("tf"), F.col("field_length"), F.col("averages")[F.col("field")], o["b"], gamma)
-    per_term = base.groupBy(key, "ord", "term", "boost", "df", "norm_entropy", "total", "average").agg(
+    per_term = base.groupBy(key, "ord", "term", "boost", "df", "norm_entropy", "total", "average", *stored).agg(
         F.sum(weight * ntf).alias("s"), F.bit_or("mask").alias("mask"), F.sum("field_length").alias("length"))
     per_term = per_term.withColumn("idf", R.idf(F.col("total"), F.col("df"))).withColumn("part", F.col("boost") * F.col("idf") * R.saturate(F.col("s"), o["k1"]))
-    totals = lengths.groupBy(key).agg(F.sum("field_length").alias("doc_length"))
     ordered = F.sort_array(F.collect_list(F.struct("ord", "term", "mask", "idf", "part")))
-    per_doc = per_term.groupBy(key, "total", "average").agg(
+    per_doc = per_term.groupBy(key, "total", "average", *stored).agg(
         F.sum("part").alias("base"), F.bit_and("mask").alias("common"), F.count("*").alias("matched"), F.avg("idf").alias("avg_idf"),
-        F.sum("norm_entropy").alias("sum_entropy"), ordered.alias("terms")).join(totals, key)
+        F.sum("norm_entropy").alias("sum_entropy"), ordered.alias("terms"))
+    if not stored:
+        per_doc = per_doc.join(lengths.groupBy(key).agg(F.sum("field_length").alias("doc_length")), key)
     masks = F.transform("terms", lambda t: t["mask"])
     prox = R.proximity(F.col("common"), F.col("matched"), F.col("doc_length"), F.col("average"), o["alpha"], o["lambda"], seg)
     total = F.col("base")

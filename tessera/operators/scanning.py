@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +22,26 @@ from tessera.functions import scan as S
 BROADCAST_ENTITIES = 500_000
 
 
+_KINDS = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+
+
 def _rows(docs: DataFrame, fn: Callable[[str], list[dict]], fields: dict[str, str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of fn(text) beside the document's id."""
-    names = list(fields)
 
     def run(batches):
-        for pdf in batches:
-            ids, rows = [], []
-            for key, body in zip(pdf[doc], pdf[text], strict=True):
+        for batch in batches:
+            place, columns = [], {n: [] for n in fields}
+            for i, body in enumerate(batch.column(1).to_pylist()):
                 for r in fn(body or ""):
-                    ids.append(key)
-                    rows.append([r.get(n) for n in names])
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, doc, ids)
-            yield out
+                    place.append(i)
+                    for n, column in columns.items():
+                        value = r.get(n)
+                        column.append(list(value.items()) if type(value) is dict else value)
+            ids = batch.column(0).take(pa.array(place, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, _KINDS[fields[n]]) for n, v in columns.items())], [doc, *fields])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(doc, text).mapInPandas(run, f"{doc} {kind}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
+    return docs.select(doc, text).mapInArrow(run, f"{doc} {kind}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
 
 
 _SPAN = {"start": "int", "end": "int", "kind": "string", "label": "string", "captures": "map<string,string>"}

@@ -118,8 +118,9 @@ def search_with_diversity(points: DataFrame, query: Sequence[float], k: int, tra
 class PartitionedIndex:
     """Clusters of unit vectors with bounding radii; only the nearest clusters are searched.
 
-    Seeds are spread evenly over a bounded sample in hash order; every vector
-    is assigned, and centroids are re-averaged once from all of them.
+    Seeds are chosen by k-means++ from a bounded sample in hash order and moved
+    a few rounds over it; every vector is assigned, and centroids are
+    re-averaged once from all of them.
     """
 
     #: Rows the seeds are drawn from, and clusters: both bound what the driver holds.
@@ -143,11 +144,28 @@ class PartitionedIndex:
 
         return nearest
 
+    @staticmethod
+    def _seeds(sample: np.ndarray, clusters: int, rounds: int = 5) -> np.ndarray:
+        """k-means++: each next seed is drawn in proportion to its squared distance from those chosen; then ``rounds`` of means."""
+        if not len(sample):
+            return sample
+        rng = np.random.default_rng(17)
+        chosen = [int(rng.integers(len(sample)))]
+        near = ((sample - sample[chosen[0]]) ** 2).sum(1)
+        while len(chosen) < min(clusters, len(sample)) and near.sum() > 1e-12:
+            chosen.append(int(rng.choice(len(sample), p=near / near.sum())))
+            near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+        seeds = sample[chosen]
+        for _ in range(rounds):
+            own = (sample @ seeds.T).argmax(1)
+            seeds = np.array([sample[own == c].mean(0) if (own == c).any() else seeds[c] for c in range(len(seeds))])
+        return seeds
+
     @classmethod
     def build(cls, points: DataFrame, clusters: int, key: str = "vec_id", vector: str = "embedding") -> PartitionedIndex:
         clusters = min(clusters, cls.MAX_CLUSTERS)
         sample = [r[0] for r in points.select(vector, key).orderBy(F.xxhash64(key), key).limit(cls.SAMPLE).collect()]
-        seeds = np.array([sample[i * len(sample) // clusters] for i in range(min(clusters, len(sample)))], float)
+        seeds = cls._seeds(cls._unit(np.array(sample, float).reshape(len(sample), -1)), clusters)
         first = points.withColumn("cluster", cls._nearest(seeds)(vector))
         place = F.posexplode(V.normalize(F.col(vector)))
         means = first.select("cluster", place.alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
@@ -171,16 +189,30 @@ class PartitionedIndex:
     def search(self, query: Sequence[float], k: int) -> DataFrame:
         return search_knn(self.assigned, query, k, key=self.key, vector=self.vector, where=F.col("cluster").isin(self.probes(query)))
 
+    def upsert(self, points: DataFrame) -> PartitionedIndex:
+        """A new index in which ``points`` are added or replace those of their key; the clusters stay."""
+        fresh = points.withColumn("cluster", self._nearest(self.centroids)(self.vector))
+        kept = self.assigned.join(points.select(self.key).distinct(), self.key, "left_anti")
+        return PartitionedIndex(self.centroids, kept.select(*fresh.columns).unionByName(fresh), self.key, self.vector)
+
     def split_large(self, most: int = 1000) -> PartitionedIndex:
-        """A new index in which clusters over ``most`` members have two centroids."""
-        big = [r["cluster"] for r in self.assigned.groupBy("cluster").count().where(F.col("count") > most).collect()]
-        more = []
-        for c in big:
-            pair = self.assigned.where(F.col("cluster") == c).orderBy(F.xxhash64(self.key)).limit(2).select(self.vector).collect()
-            more += [np.array(r[0], float) for r in pair]
-        kept = [v for i, v in enumerate(self.centroids) if i not in set(big)]
-        centroids = np.array([*kept, *more])
-        return PartitionedIndex(centroids, self.assigned.drop("cluster").withColumn("cluster", self._nearest(centroids)(self.vector)), self.key, self.vector)
+        """A new index in which clusters over ``most`` members are two; only their members move."""
+        centroids, moved = list(self.centroids), None
+        for c in [r["cluster"] for r in self.assigned.groupBy("cluster").count().where(F.col("count") > most).orderBy("cluster").collect()]:
+            own = self.assigned.where(F.col("cluster") == c)
+            sample = [r[0] for r in own.orderBy(F.xxhash64(self.key), self.key).limit(self.SAMPLE).select(self.vector).collect()]
+            pair = self._seeds(self._unit(np.array(sample, float)), 2)
+            if len(pair) < 2:
+                continue  # all alike
+            side = self._nearest(pair)(self.vector)
+            halves = own.drop("cluster").withColumn("cluster", F.when(side == 0, F.lit(c)).otherwise(F.lit(len(centroids))).cast("int"))
+            centroids[c] = pair[0]
+            centroids.append(pair[1])
+            moved = (halves, [c]) if moved is None else (moved[0].unionByName(halves), [*moved[1], c])
+        if moved is None:
+            return self
+        rest = self.assigned.where(~F.col("cluster").isin(moved[1])).select(*moved[0].columns)
+        return PartitionedIndex(np.array(centroids), rest.unionByName(moved[0]), self.key, self.vector)
 
 
 def global_range(points: DataFrame, vector: str = "embedding") -> DataFrame:

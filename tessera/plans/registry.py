@@ -40,4 +40,4 @@ class Tables:
 
 def load() -> None:
     """Import the families, which registers their queries."""
-    from tessera.plans import aggregates, documents, graphs, records, scalars, searches, times  # noqa: F401
+    from tessera.plans import aggregates, documents, graphs, records, scalars, searches, services, times  # noqa: F401

@@ -15,6 +15,7 @@ keyed state.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,19 +105,35 @@ def apply_deltas(table: DataFrame, deltas: DataFrame, key: str = "id", columns:
     return kept.select(key, *[F.coalesce(get(c), F.col(c)).alias(c) if c in fields else F.col(c) for c in table.columns if c != key])
 
 
-def apply_stream(deltas: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None = None, mirrors: tuple[Callable[[DataFrame, int], None], ...] = ()):
+def apply_stream(deltas: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None = None, mirrors: tuple[Callable[[DataFrame, int], None], ...] = (), attempts: int = 3, wait: float = 0.1, telemetry: list[dict] | None = None):
     """Start a stream that hands each micro-batch, coalesced, to ``apply`` and then to ``mirrors``.
 
     At least once: a batch is given again after a failure, so ``apply`` must be
-    idempotent by (id, version).  Retry and back-off are the stream's.
+    idempotent by (id, version).  A failing sink is tried ``attempts`` times,
+    each wait twice as long as the one before; then the stream fails, and goes
+    on with the same batch when it is started again.  ``telemetry`` gets a row
+    a batch: its number, rows by operation, tries and seconds.
     """
 
+    def attempt(sink, done: DataFrame, number: int) -> int:
+        for n in range(1, attempts + 1):
+            try:
+                sink(done, number)
+                return n
+            except Exception:
+                if n == attempts:
+                    raise
+                time.sleep(wait * 2 ** (n - 1))
+        return attempts
+
     def each(batch: DataFrame, number: int) -> None:
         done = coalesce(batch).persist()
+        began = time.monotonic()
         try:
-            apply(done, number)
-            for mirror in mirrors:
-                mirror(done, number)
+            tries = sum(attempt(sink, done, number) for sink in (apply, *mirrors))
+            if telemetry is not None:
+                counts = {r["operation"]: r["n"] for r in done.groupBy("operation").agg(F.count("*").alias("n")).collect()}
+                telemetry.append({"batch": number, "operations": counts, "tries": tries, "seconds": time.monotonic() - began})
         finally:
             done.unpersist()
 
@@ -162,6 +179,14 @@ def running_scores(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     return parts.groupBy(key).agg(F.sum("part").alias("score"))
 
 
+def mention_batches(events: DataFrame, size: int = 100, order: tuple[str, ...] = ("ts", "event_id"), entity: str = "entity_id") -> DataFrame:
+    """(batch, entity, n): queued mention events in order, ``size`` to a batch, counted by entity."""
+    from tessera.operators.ordering import with_place
+
+    placed = with_place(events, *order)
+    return placed.groupBy(F.floor((F.col("place") - 1) / size).alias("batch"), entity).agg(F.count("*").alias("n"))
+
+
 def flush_ready(pending: Column, oldest_ms: Column, since_last_ms: Column, debounce_ms: int = 50, max_wait_ms: int = 200, most: int = 100) -> Column:
     """Whether a buffer should be flushed: quiet for the debounce, waited the longest, or full."""
     return (pending > 0) & ((since_last_ms >= debounce_ms) | (oldest_ms >= max_wait_ms) | (pending >= most))
