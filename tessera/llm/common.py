@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch handed to a Python worker.
@@ -16,6 +16,8 @@ BATCH_BYTES = 8 << 20
 BROADCAST_BYTES, SALTS = 32 << 20, 16
 #: A key is frequent from so many rows on, or from so small a part of all: there are MOST_HOT such keys at most.
 LEAST_HOT, MOST_HOT = 1024, 100_000
+#: Bytes of the labelled texts that a model is fitted on at most.
+SAMPLE_BYTES = 64 << 20
 
 
 class Numbers(dict):
@@ -106,12 +108,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most ``limit`` labelled rows outside the held-out fold as (doc_id, text, y), by hash order of doc_id.
 
     Only doc_ids are ordered; the limited id set, at most ``limit`` rows, is
-    then broadcast to fetch its texts.  Of the texts of a repeated doc_id the
-    least counts.  Null labels, texts and ids are left out.
+    then broadcast to fetch its texts, whole, as far as they fit in
+    ``most_bytes`` together, none over a sixteenth of it.  Of the texts of a repeated doc_id the least
+    counts.  Null labels, texts and ids are left out.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -120,4 +123,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     present = docs.where(F.col("text").isNotNull()).select("doc_id")
     chosen = ids.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", text_bytes(), "y")
+    once = rows.where(F.octet_length("text") <= most_bytes // 16).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``limit`` rows at most
+    return once.withColumn("_bytes", so_far).where(F.col("_bytes") <= most_bytes).select("doc_id", text_bytes(), "y")

@@ -121,18 +121,33 @@ class WordEncoder:
         self.sizes[n - len(sizes) : n] = sizes
         self.used += len(ids)
 
+    def plain(self, text: bytes) -> bool:
+        """True if the ids of a text are those of its words."""
+        return not (b"<|" in text or b"\xcc" in text or b"\xcd" in text)
+
+    def counts_of(self, words: list[bytes]) -> np.ndarray:
+        """How many ids each word has, within plain texts."""
+        if len(self.index) > CACHE_WORDS:
+            self._clear()
+        places = self._places(map(bytes.lower, words), len(words))  # learning may replace the array
+        return self.sizes[places]
+
+    def _places(self, words, n: int) -> np.ndarray:
+        places = np.fromiter(map(self.index.__getitem__, words), np.int64, n)
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
+        return places
+
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text.  Words of all texts are looked up together."""
         if len(self.index) > CACHE_WORDS:
             self._clear()
-        whole = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        whole = [not self.plain(t) for t in texts]
         lists = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         n = int(counts.sum())
-        places = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, n)
-        if self.index.new:
-            self._learn(self.index.new)
-            self.index.new = []
+        places = self._places(chain.from_iterable(lists), n)
         sizes = self.sizes[places]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1] if n else 0)]

@@ -73,9 +73,36 @@ def naive_repeats(words, w=8):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=60))
-def test_repeated_words_brute_force(words):
-    assert fertility.repeated_words(np.array([ord(w) for w in words], np.int64)) == naive_repeats(words)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=4))
+def test_repeated_words_brute_force(texts):
+    rows = np.array([ord(w) for t in texts for w in t], np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    assert fertility.repeated_words(rows, owner, len(texts)).tolist() == [naive_repeats(t) for t in texts]
+
+
+def test_fertility_measures_brute_force(word_library):
+    """Characters per token, byte share and entropy of each text by the libraries, one word after the other."""
+    import math
+    import random
+
+    pieces = fertility._pieces(fertility.default_vocabulary(), packing.default_vocabulary())
+    rnd = random.Random(6)
+    texts = ["", " \n ", "a", "plain words and more plain words", "a <|endoftext|> b", "e\u0301 \u00e9 E\u0301", "\u6f22\u5b57 \u304b\u306a \U0001f9ff\U0001fabf", *("".join(rnd.choice("ab cd, \u00e9\u0442\u03b1\n\u6f22") for _ in range(rnd.randint(1, 300))) for _ in range(60))]
+    got = fertility.measure_all(pieces, [t.encode() for t in texts])
+    for i, text in enumerate(texts):
+        words = [w.decode() for w in text.encode().split()]
+        ids = [x for w in words for x in pieces.model.encode(w)]
+        chars, n = sum(map(len, words)), len(ids)
+        counts = Counter(ids).values()
+        want = (chars / n, sum(map(pieces.model.is_byte, ids)) / n, -sum(c / n * math.log2(c / n) for c in counts)) if n else (0, 0, 0)
+        assert (got["chars_per_token"][i], got["byte_share"][i], got["token_entropy"][i]) == pytest.approx(want, abs=1e-9)
+        whole = len(word_library.encode(text, add_special_tokens=False).ids)
+        assert got["n_tokens"][i] == n and got["chars_per_word_token"][i] == pytest.approx(chars / whole if whole else 0)
+
+
+def test_bands_reject_outside_only():
+    m = {"script": ["latin"] * 5, "n_tokens": np.full(5, 100), "chars_per_token": np.array([4, 1.0, 4, 4, 4]), "byte_share": np.array([0, 0, 0.2, 0, 0]), "token_entropy": np.array([6, 6, 6, 1.0, 6]), "chars_per_word_token": np.array([4, 4, 4, 4, 9.0])}
+    assert fertility.accepts(m).tolist() == [True, False, False, False, False]
 
 
 def test_fertility_base_columns_brute_force(spark):
@@ -100,8 +127,9 @@ def test_fertility_keeps_good_and_rejects_misfits(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
     good = fertility.fertility_rules(docs).join(labels.where("quality = 1"), "doc_id").where("not base_failed")
     assert good.where("not kept").count() == 0
-    junk = fertility.measure(fertility.WordPieces(fertility.default_vocabulary()), ("\U0001f9ff\U0001fabf" * 40 + " ").encode() * 30)
-    assert junk["byte_share"] > 0.5
+    junk = spark.createDataFrame([(1, " ".join("\U0001f9ff\U0001fabf" * 40 + str(i) for i in range(30)))], "doc_id long, text string")
+    measured = fertility.fertility_rules(junk).first()
+    assert measured["byte_share"] > 0.5 and measured["script"] == "other"
 
 
 def test_fertility_odd_rows(odd_docs, no_docs):
@@ -178,3 +206,15 @@ def test_packing_odd_rows(odd_docs, no_docs):
     assert sum(r["start"] == 0 for r in rows) == 10
     assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
     assert packing.pack_documents(no_docs).count() == 0
+
+
+def test_encoder_grows_and_starts_afresh(word_library, monkeypatch):
+    """More distinct words than the first arrays hold, then more than are remembered."""
+    encoder = packing.WordEncoder(packing.default_vocabulary())
+    words = [f"w{i}x".encode() for i in range(70_000)]
+    counts = encoder.counts_of(words)
+    assert counts.sum() == len(word_library.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 10)
+    for text in ("some words here", "w1x w2x other", "w69999x"):
+        assert encoder.encode(text.encode()).tolist() == word_library.encode(text, add_special_tokens=False).ids
+    assert len(encoder.index) < 70_000
