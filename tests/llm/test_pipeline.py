@@ -1,5 +1,8 @@
 """The pipeline keeps clean documents, drops what each stage is for, and loses nothing else."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import decontaminate, line_crf, simhash, toxicity
 
@@ -34,3 +37,35 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Clean documents beside nulls, empty and very long texts, repeated rows and columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(900_001, None), (900_002, ""), (900_003, "word " * 50_000), (900_004, "x" * 300_000), (None, "no id at all"), (900_005, "twice the same row"), (900_005, "twice the same row")], "doc_id long, text string")
+    for name in ("lang", "source"):
+        odd = odd.withColumn(name, F.lit(None).cast("string"))
+    rows = docs.unionByName(odd.withColumn("n_chars", F.length("text").cast("long")))
+    for name in ("score", "predicted", "component_id", "fp", "copy", "start", "y"):
+        rows = rows.withColumn(name, F.lit("clash"))
+    return rows
+
+
+@pytest.mark.parametrize("place", range(len(corpus_pipeline.STAGES)), ids=[n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, odd_rows, place):
+    """Columns stay, rows without a doc_id stay, equal rows share their fate, and what is kept was there."""
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, odd_rows, SF).collect()
+    before = odd_rows.collect()
+    if name == "packing":
+        assert sum(r["start"] == 0 for r in out) == len(before)
+        assert sum(r["length"] for r in out if r["start"] == 0 and r["doc_id"] in (900_001, 900_002)) == 2
+        return
+    assert out and out[0].asDict().keys() == before[0].asDict().keys() and set(map(tuple, out)) <= set(map(tuple, before))
+    ids = [r["doc_id"] for r in out]
+    assert None in ids and ids.count(900_005) in (0, 2)
+    if name == "benchmark decontamination":
+        assert {900_001, 900_002, 900_003, 900_004} <= set(ids)
+    if name == "simhash near-dedup":
+        assert len({900_001, 900_002} & set(ids)) == 1 or any(r["doc_id"] not in (900_001, 900_002) and not (r["text"] or "").split() for r in out)
