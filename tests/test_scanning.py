@@ -129,6 +129,17 @@ def test_spans_of_the_syntax_scan_do_not_meet():
         assert [(s["start"], s["end"], s["kind"]) for s in S.scan_syntax(text)] == sorted(kept)
 
 
+def test_phrase_pattern_takes_the_longest():
+    import re
+
+    phrases = ["in", "in time", "in the end", "a.d.", "ad", "met", "metal", "is in love with", "is in"]
+    plain = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(phrases, key=len, reverse=True))) + r")(?!\w)", re.I)
+    rnd = random.Random(4)
+    for _ in range(500):
+        text = " ".join(rnd.choice([*phrases, "In", "METALS", "in-time", "a.d", "time", "the end", "love"]) for _ in range(rnd.randint(0, 9)))
+        assert [m.span() for m in S.phrase_pattern(phrases).finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
 def test_relation_table():
     relations = {r: phrases for r, _, _, phrases in S.RELATIONS}
     assert len(relations) == 37 and {"HACKED", "SUMMONED", "DIED_IN", "LOST"} <= set(relations)
@@ -203,3 +214,19 @@ def test_causal_links_take_phrases(spark):
     events = spark.createDataFrame([(1, 10, "Great Fire"), (1, 11, "famine"), (2, 12, "the flood"), (2, 13, "many fled"), (3, 14, "peace"), (3, 15, "war"), (3, 16, "peaceful")], "doc_id long, event_id int, name string")
     got = {tuple(r) for r in cooccurrence.causal_links(docs, events).collect()}
     assert got == {(1, 10, 11, "TRIGGERS"), (2, 12, 13, "TRIGGERS"), (3, 14, 15, "PREVENTS")}
+
+
+def test_sentence_chunks_lose_nothing():
+    from tessera.functions import chunking
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        sentences = [" ".join(rnd.choice(WORDS[:17]) for _ in range(rnd.randint(1, 12))) + "." for _ in range(rnd.randint(0, 12))]
+        parts = chunking.chunk_sentences(" ".join(sentences), 80, 1)
+        assert all(len(p) <= 80 or p in sentences for p in parts)
+        at = 0
+        for p in parts:  # each chunk is a run of sentences, and opens at most one before the next that is due
+            size = next(n for n in range(1, len(sentences) + 1) for k in (at, at - 1) if k >= 0 and " ".join(sentences[k : k + n]) == p)
+            begin = next(k for k in (at, at - 1) if k >= 0 and " ".join(sentences[k : k + size]) == p)
+            at = begin + size
+        assert at == len(sentences)
