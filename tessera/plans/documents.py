@@ -34,28 +34,29 @@ p AS (SELECT doc_id, field, term, field_length, count(*) AS tf, bit_or(CAST(1 AS
 _BODY = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2)"
 
 
-def _terms_sql(terms):
-    return "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(terms)) + ") v(ord, term))"
+def _terms_sql(terms, boosts=None):
+    rows = zip(terms, boosts or [1.0] * len(terms), strict=True)
+    return "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}', {b})" for i, (w, b) in enumerate(rows)) + ") v(ord, term, boost))"
 
 
-def _score_sql(terms, gamma="0.0", multiplier=None, extra="0"):
+def _score_sql(terms, gamma="0.0", multiplier=None, extra="0", boosts=None, total="base"):
     """The SQL of a search: per-term saturated BM25F, then the multipliers."""
     prox = "CASE WHEN matched < 2 THEN 1.0 ELSE 1 + 0.5 * (bit_count(common) / least(matched, 16)) * exp(-0.5 * dl / average) END"
     m = "1.0" if len(terms) == 1 else (multiplier or prox)
-    return f"""WITH {_POST}, {_terms_sql(terms)},
+    return f"""WITH {_POST}, {_terms_sql(terms, boosts)},
 l AS (SELECT DISTINCT doc_id, field, field_length FROM p), n AS (SELECT count(DISTINCT doc_id) AS total, sum(field_length) / count(DISTINCT doc_id) AS average FROM l),
 av AS (SELECT field, sum(field_length) / (SELECT total FROM n) AS avg_len FROM l GROUP BY 1),
 dl AS (SELECT doc_id, sum(field_length) AS dl FROM l GROUP BY 1),
-h AS (SELECT p.*, q.ord FROM p JOIN q USING (term)),
+h AS (SELECT p.*, q.ord, q.boost FROM p JOIN q USING (term)),
 s AS (SELECT term, count(DISTINCT doc_id) AS df FROM h GROUP BY 1),
 en AS (SELECT term, sum(CASE WHEN pp > 1e-6 AND pp < 0.999999 THEN -pp * ln(pp) ELSE 0 END) AS e FROM (SELECT term, 1 / (1 + exp(-least(CAST(sum(tf) AS DOUBLE), 10.0))) AS pp FROM h GROUP BY term, doc_id) GROUP BY 1),
 ne AS (SELECT term, {'1.0' if len(terms) == 1 else 'e / greatest(max(e) OVER (), 1e-9)'} AS ne FROM en),
-x AS (SELECT doc_id, ord, term, df, ne, sum(CASE field WHEN 'title' THEN 2.0 ELSE 1.0 END * tf / (0.25 + 0.75 * field_length / avg_len + {gamma})) AS s, bit_or(mask) AS mask FROM h JOIN s USING (term) JOIN av USING (field) JOIN ne USING (term) GROUP BY 1, 2, 3, 4, 5),
+x AS (SELECT doc_id, ord, term, boost, df, ne, sum(CASE field WHEN 'title' THEN 2.0 ELSE 1.0 END * tf / (0.25 + 0.75 * field_length / avg_len + {gamma})) AS s, bit_or(mask) AS mask FROM h JOIN s USING (term) JOIN av USING (field) JOIN ne USING (term) GROUP BY 1, 2, 3, 4, 5, 6),
 y AS (SELECT *, CASE WHEN df = 0 THEN 0 ELSE ln(1 + greatest(0, (total - df + 0.5) / (df + 0.5))) END AS idf FROM x, n),
-z AS (SELECT doc_id, total, average, sum(idf * 2.2 * s / (1.2 + s)) AS base, bit_and(mask) AS common, count(*) AS matched, avg(idf) AS avg_idf, sum(ne) AS sum_entropy, list(mask ORDER BY ord) AS masks FROM y GROUP BY 1, 2, 3),
+z AS (SELECT doc_id, total, average, sum(boost * idf * 2.2 * s / (1.2 + s)) AS base, list(boost * idf * 2.2 * s / (1.2 + s) ORDER BY ord) AS parts, bit_and(mask) AS common, count(*) AS matched, avg(idf) AS avg_idf, sum(ne) AS sum_entropy, list(mask ORDER BY ord) AS masks FROM y GROUP BY 1, 2, 3),
 r AS (SELECT z.*, dl, {m} AS proximity FROM z JOIN dl USING (doc_id)),
 g AS (SELECT *, {'1.0' if len(terms) == 1 else f"CASE WHEN matched = {len(terms)} AND len(list_filter(range(1, len(masks)), lambda i: ((masks[i] << 1) & masks[i + 1]) <> 0)) = len(masks) - 1 THEN 1.5 ELSE 1.0 END"} AS phrase FROM r)
-SELECT doc_id, round(proximity, 6) AS proximity, phrase, round(base * proximity * phrase + {extra}, 6) AS score FROM g WHERE base > 0 ORDER BY round(base * proximity * phrase + {extra}, 9) DESC, doc_id LIMIT 20"""
+SELECT doc_id, round(proximity, 6) AS proximity, phrase, round({total} * proximity * phrase + {extra}, 6) AS score FROM g WHERE base > 0 ORDER BY round({total} * proximity * phrase + {extra}, 9) DESC, doc_id LIMIT 20"""
 
 
 def _top(df):
@@ -126,7 +127,10 @@ def b_entropy(t):
     return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), entropy=True, similarity=True))
 
 
-@query("b_search_per_term_proximity")
+_EACH = "list_sum(list_transform(range(1, len(masks) + 1), lambda i: parts[i] * (1 + 0.5 * CASE WHEN i = 1 THEN 0 ELSE list_sum(list_transform(range(1, i), lambda j: bit_count(masks[i] & masks[j]) / 16.0)) / (i - 1) END)))"
+
+
+@query("b_search_per_term_proximity", _score_sql(TERMS, multiplier="1.0", total=_EACH))
 def b_per_term(t):
     return _top(R.search(postings(t), TERMS, 20, lengths=lengths(t), strategy="per_term"))
 
@@ -136,12 +140,12 @@ def b_norm(t):
     return R.search_normalized(postings(t), TERMS, 20, lengths=lengths(t)).select("doc_id", F.round("normalized", 4).alias("normalized"))
 
 
-@query("b_search_augmented")
+@query("b_search_augmented", _score_sql([*TERMS, "ther"], boosts=[1.0, 1.0, 1.0, 0.3]))
 def b_augmented(t):
     return _top(R.search(postings(t), [*TERMS, "ther"], 20, lengths=lengths(t), boosts=[1.0, 1.0, 1.0, 0.3]))
 
 
-@query("b_explain")
+@query("b_explain", _score_sql(TERMS).rsplit("SELECT doc_id, round(proximity", 1)[0] + "SELECT doc_id, term, mask, round(idf, 6) AS idf, round(idf * 2.2 * s / (1.2 + s), 6) AS part FROM y WHERE doc_id IN (SELECT doc_id FROM g WHERE base > 0 ORDER BY round(base * proximity * phrase, 9) DESC, doc_id LIMIT 5)")
 def b_explain(t):
     return R.search(postings(t), TERMS, 5, lengths=lengths(t)).select("doc_id", "base", "proximity", "phrase", "coverage", F.inline("terms")).select("doc_id", "term", "mask", F.round("idf", 6).alias("idf"), F.round("part", 6).alias("part"))
 
@@ -328,7 +332,7 @@ def t_narrative(t):
     return scanning.analyze_narrative(marked(t), {"a": (["Ann"], "female")}).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("t_sentences_and_paragraphs")
+@query("t_sentences_and_paragraphs", r"SELECT doc_id, len(list_filter(regexp_extract_all(text, '[^.!?\n]+'), lambda x: regexp_matches(x, '\S'))) AS sentences, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_matches(x, '\S'))) AS paragraphs FROM documents")
 def t_spans(t):
     s = scanning.sentence_table(t.documents).groupBy("doc_id").agg(F.count("*").alias("sentences"))
     return s.join(scanning.paragraph_table(t.documents).groupBy("doc_id").agg(F.count("*").alias("paragraphs")), "doc_id", "full_outer")

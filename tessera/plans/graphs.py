@@ -117,7 +117,7 @@ def r_generations(t):
     return g.crossJoin(T.generation_depth(e, 0, 1007).withColumnRenamed("generation", "of_node")).crossJoin(T.entities_at_generation(e, 0, 2).agg(F.count("*").alias("second")))
 
 
-@query("r_family_and_members")
+@query("r_family_and_members", f"WITH {_TREE} SELECT source AS node, 'parent' AS relation FROM t WHERE target = 103 UNION SELECT target, 'child' FROM t WHERE source = 103 UNION SELECT target, 'sibling' FROM t WHERE source IN (SELECT source FROM t WHERE target = 103) AND target <> 103 UNION SELECT source, 'member' FROM t WHERE source < 2 UNION SELECT target, 'member' FROM t WHERE source < 2")
 def r_family(t):
     e = tree(t).withColumn("type", F.lit("PARENT_OF"))
     return T.family_unit(e, 103).unionByName(T.members_by_relationship(e.where("source < 2"), "PARENT_OF").withColumn("relation", F.lit("member")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import fusion as U
 from tessera.operators import vector_search as S
-from tessera.plans.registry import query
+from tessera.plans.registry import SQL, query
 
 Q = [float((i * 7) % 11 - 5) / 5 for i in range(64)]
 _Q = "[" + ", ".join(map(str, Q)) + "]::DOUBLE[]"
@@ -44,7 +44,7 @@ def v_threshold(t):
     return _top(S.search_knn(t.embeddings, Q, 50, least=0.1))
 
 
-@query("v_find_similar_excludes_self")
+@query("v_find_similar_excludes_self", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), c AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS s FROM embeddings, q WHERE vec_id <> 0) SELECT vec_id, round(s, 6) AS score FROM c WHERE s >= 0 ORDER BY round(s, 9) DESC, vec_id LIMIT 10")
 def v_similar(t):
     me = [float(x) for x in t.embeddings.where("vec_id = 0").first()["embedding"]]
     return _top(S.find_similar(t.embeddings, 0, me, 10))
@@ -215,7 +215,7 @@ def u_propagate(t):
     return U.propagate(r, web(t)).select("id", F.round("score", 6).alias("score"))
 
 
-@query("u_multi_modal_plan")
+@query("u_multi_modal_plan", f"SELECT id, score, 'relationship' AS intent FROM ({SQL['u_weighted_fusion']}) ORDER BY score DESC, id LIMIT 50")
 def u_plan(t):
     plan = U.classify_query("how is part 3 related to part 6")
     fused = U.fuse(lists(t), plan["strategy"])
