@@ -31,8 +31,8 @@ WINDOW = 4096
 END_ID = 2
 #: Distinct words a worker remembers; past it the memory starts afresh.
 CACHE_WORDS = 1_000_000
-#: Pieces of one length that are ranked in one task, about; longer lists are dealt into slices by hash.
-SLICE_PIECES = 1 << 17
+#: Longer lists of pieces of one length are dealt by hash into slices of about so many, or of so small a part of all pieces, and each slice is ranked for itself.
+SLICE_PIECES, MOST_SLICES = 256, 100_000
 
 
 def default_vocabulary() -> str:
@@ -260,17 +260,18 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str | None
     Null texts are empty: a document of one id, the end.  Repeated rows are
     packed each, null doc_ids stay null, other columns are ignored, an empty
     table gives no rows.  Writes the pieces once; the driver holds a histogram
-    of ``window`` counts, the plan made from it, and a count per SLICE_PIECES
-    pieces.
+    of ``window`` counts, the plan made from it, and at most MOST_SLICES counts
+    more.
     """
     pieces = materialize(cut_pieces(docs, window, vocabulary).withColumn("piece", F.xxhash64("doc_id", "start", "ids_crc32")), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    long = [{"length": length, "slices": -(-n // SLICE_PIECES)} for length, n in histogram.items() if n > SLICE_PIECES]
+    per_slice = max(SLICE_PIECES, sum(histogram.values()) // MOST_SLICES)
+    long = [{"length": length, "slices": -(-n // per_slice)} for length, n in histogram.items() if n > per_slice]
     spark = docs.sparkSession
     slices = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(long)), "array<struct<length:bigint,slices:bigint>>")))
     slice_of = F.pmod(F.col("piece"), F.coalesce(F.col("slices"), F.lit(1).cast("long")))
     sliced = pieces.join(F.broadcast(slices), "length", "left").withColumn("slice", slice_of).drop("slices")
-    # A row for a length and a slice: at most ``window`` and one for SLICE_PIECES pieces.
+    # A row for a length and a slice: at most ``window`` and MOST_SLICES.
     sizes = sorted(tuple(r) for r in sliced.groupBy("length", "slice").agg(F.count("*").alias("n")).collect())
     length, part, n = np.array(sizes, np.int64).reshape(-1, 3).T
     before = np.cumsum(n) - n
