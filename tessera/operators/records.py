@@ -141,7 +141,7 @@ def enforce_uniqueness(refs: DataFrame) -> DataFrame:
     return refs.withColumn("key", key).groupBy("key").agg(F.min("kind").alias("kind"), F.min("target").alias("target"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("last_seen_at").alias("last_seen_at"))
 
 
-#: Predicates allowed by kind of entity; kinds not named allow all.
+#: Predicates allowed by kind of entity; kinds not named allow all.
 PREDICATE_RULES = {
     "CHARACTER": ["KNOWS", "LOVES", "HATES", "ALLIED_WITH", "ENEMY_OF", "PARENT_OF", "CHILD_OF", "MEMBER_OF", "LOCATED_IN", "OWNS"],
     "LOCATION": ["CONTAINS", "PART_OF", "NEAR", "CONNECTED_TO"], "FACTION": ["ALLIED_WITH", "ENEMY_OF", "CONTAINS", "LOCATED_IN"],
