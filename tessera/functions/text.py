@@ -74,6 +74,28 @@ def consecutive_runs(lengths: Column, tolerance: int = 3) -> Column:
     return F.aggregate(lengths, zero, step, lambda acc: acc["total"])
 
 
+def longest_near_run(lengths: Column, tolerance: int = 3) -> Column:
+    """The most lengths in a row whose neighbours differ by ``tolerance`` at most; 1 at least."""
+    zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(1).alias("run"), F.lit(1).alias("most"))
+
+    def step(acc, x):
+        run = F.when(F.coalesce(F.abs(x - acc["last"]) <= tolerance, F.lit(False)), acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.cast("int").alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(lengths, zero, step, lambda acc: acc["most"])
+
+
+def flow_insights(lengths: Column) -> Column:
+    """Struct of a text's sentence lengths: sentences in near runs, dominant bucket (the first of the fullest; null without sentences), variety, monotony (five near ones in a row)."""
+    names = list(LENGTH_BUCKETS)
+    count = lambda name: F.size(F.filter(lengths, lambda n: length_bucket(n) == name))
+    counts = F.array(*map(count, names))
+    dominant = F.element_at(F.array(*map(F.lit, names)), F.array_position(counts, F.array_max(counts)).cast("int"))
+    return F.struct(
+        consecutive_runs(lengths).alias("consecutive_patterns"), F.when(F.size(lengths) > 0, dominant).alias("dominant_range"),
+        variety_score(counts).alias("variety"), (longest_near_run(lengths) >= 5).alias("has_monotony"))
+
+
 def variety_score(counts: Column) -> Column:
     """Entropy of bucket counts over its most, in percent; one bucket or none scores 0."""
     full = F.filter(counts, lambda c: c > 0)

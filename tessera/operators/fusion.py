@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,22 +145,152 @@ def propagate(results: DataFrame, edges: DataFrame) -> DataFrame:
     return marked.join(gain, "id", "left").withColumn("score", F.least(F.col("score") + F.coalesce("gain", F.lit(0.0)), F.lit(1.0))).drop("gain", "anchor")
 
 
-#: Query patterns, tried in order, and the plan each asks for.
+#: Patterns of each intent, tried in this order; the first that matches names the intent.
 INTENTS = [
-    ("relationship", r"\b(related|relationship|connect(ed|ion)?|between|linked)\b", {"modalities": ["graph", "vector"], "strategy": "weighted", "preset": "relational"}),
-    ("temporal", r"\b(when|before|after|during|timeline|date|year)\b", {"modalities": ["lexical", "graph"], "strategy": "ranked", "preset": "balanced"}),
-    ("exact", r"^\s*\".+\"\s*$", {"modalities": ["lexical"], "strategy": "union", "preset": "contextual"}),
-    ("exploratory", r"\b(like|similar|about|explain|why|how)\b", {"modalities": ["vector", "lexical"], "strategy": "ranked", "preset": "semantic"}),
-    ("entity", r"\b(who|where|which|person|place)\b", {"modalities": ["lexical", "graph"], "strategy": "intersect", "preset": "balanced"}),
-]
+    ("entity_lookup", [
+        r"^(who|what) (?:is|are) (?:the )?(.+?)[\?\.]*$",
+        r"^define (.+?)[\?\.]*$",
+        r"^(get|show|find) (?:me )?(?:the )?(?:entity|character|person|thing) (.+?)[\?\.]*$",
+    ]),
+    ("relationship", [
+        r"(?:how|what) (?:is|are) (.+?) (?:related|connected|linked) (?:to|with) (.+?)[\?\.]*$",
+        r"(?:relationship|connection|link) between (.+?) and (.+?)[\?\.]*$",
+        r"(.+?) (?:and|vs|versus) (.+?) relationship[\?\.]*$",
+    ]),
+    ("path_finding", [
+        r"path (?:from|between) (.+?) (?:to|and) (.+?)[\?\.]*$",
+        r"(?:how|what) connects (.+?) (?:to|and|with) (.+?)[\?\.]*$",
+        r"shortest (?:path|route|connection) (?:from|between) (.+?) (?:to|and) (.+?)[\?\.]*$",
+    ]),
+    ("neighborhood", [
+        r"(?:what's|what is) (?:around|near|connected to) (.+?)[\?\.]*$",
+        r"(?:show|find|get) (?:everything|all|things) (?:connected|related|linked) to (.+?)[\?\.]*$",
+        r"(.+?)(?:'s| is) (?:connections|neighbors|network)[\?\.]*$",
+    ]),
+    ("evolution", [
+        r"(?:how|what) (?:has|have) (.+?) (?:changed|evolved|developed|progressed)[\?\.]*$",
+        r"(?:evolution|change|development|progression) of (.+?)[\?\.]*$",
+        r"(.+?) over time[\?\.]*$",
+    ]),
+    ("timeline", [
+        r"(?:history|timeline|chronology) of (.+?)[\?\.]*$",
+        r"(?:show|give|get) (?:me )?(?:the )?(?:complete )?(?:history|timeline) (?:of|for) (.+?)[\?\.]*$",
+    ]),
+    ("snapshot", [
+        r"(.+?) (?:at|in|during) (.+?)[\?\.]*$",
+        r"(?:how|what) (?:was|were) (.+?) (?:at|in|during) (.+?)[\?\.]*$",
+    ]),
+    ("semantic", [
+        r"(?:similar|like|related) (?:to|as) (.+?)[\?\.]*$",
+        r"(?:themes|topics|concepts) (?:in|about|related to) (.+?)[\?\.]*$",
+        r"(?:find|show) (?:notes|entities|things) (?:similar|like|related) to (.+?)[\?\.]*$",
+    ]),
+    ("conceptual", [
+        r"(?:explain|describe|what is|what are) (?:the concept of )?(.+?)[\?\.]*$",
+        r"(?:meaning|definition) of (.+?)[\?\.]*$",
+    ]),
+    ("community", [
+        r"(?:groups|clusters|communities|categories) (?:of|in|within) (.+?)[\?\.]*$",
+        r"(?:find|detect|identify) (?:groups|clusters|communities) (?:in|of|within) (.+?)[\?\.]*$",
+        r"(?:what|which) (?:groups|clusters|categories) (?:contain|include|have) (.+?)[\?\.]*$",
+    ]),
+    ("comparison", [
+        r"(?:compare|contrast|difference between) (.+?) (?:and|vs|versus|with) (.+?)[\?\.]*$",
+        r"(.+?) (?:vs|versus) (.+?)[\?\.]*$",
+        r"(?:similarities|differences) between (.+?) and (.+?)[\?\.]*$",
+    ]),
+    ("aggregation", [
+        r"(?:all|every|everything) (?:about|related to|concerning) (.+?)[\?\.]*$",
+        r"(?:list|show|find) (?:all|every) (.+?)[\?\.]*$",
+    ]),
+    ("exploratory", [
+        r"(?:tell me|explain) (?:about|everything about) (.+?)[\?\.]*$",
+        r"(?:what|tell me) (?:can you|should I|do I need to) (?:know|understand) about (.+?)[\?\.]*$",
+    ]),
+    ("discovery", [
+        r"(?:what's|what is) (?:interesting|notable|important|significant) (?:about|in) (.+?)[\?\.]*$",
+        r"(?:discover|explore|investigate) (.+?)[\?\.]*$",
+    ]),
+]
+
+#: The fusion of each intent and its modalities in order of priority, with the results or hops each may take.
+PLANS = {
+    "entity_lookup": ("ranked", [("fts", {"results": 5}), ("entity", {}), ("graph", {"hops": 1})]),
+    "relationship": ("weighted", [("path", {}), ("graph", {"hops": 2}), ("vector", {"expand": True})]),
+    "path_finding": ("ranked", [("path", {}), ("graph", {"hops": 3})]),
+    "neighborhood": ("ranked", [("fts", {"results": 1}), ("graph", {"hops": 2})]),
+    "evolution": ("weighted", [("history", {}), ("vector", {"results": 10}), ("graph", {"hops": 1})]),
+    "timeline": ("ranked", [("history", {}), ("fts", {"results": 20})]),
+    "snapshot": ("ranked", [("history", {}), ("entity", {})]),
+    "semantic": ("weighted", [("vector", {"results": 15, "expand": True}), ("graph", {"hops": 2})]),
+    "conceptual": ("union", [("vector", {"results": 10}), ("fts", {"results": 5}), ("entity", {})]),
+    "community": ("ranked", [("community", {}), ("graph", {"hops": 3})]),
+    "comparison": ("weighted", [("entity", {}), ("path", {}), ("vector", {"results": 10}), ("graph", {"hops": 2})]),
+    "aggregation": ("union", [("vector", {"results": 30}), ("fts", {"results": 20}), ("graph", {"hops": 2})]),
+    "exploratory": ("weighted", [("vector", {"results": 15, "expand": True}), ("entity", {}), ("graph", {"hops": 2}), ("fts", {"results": 10})]),
+    "discovery": ("weighted", [("vector", {"results": 20}), ("community", {}), ("graph", {"hops": 3})]),
+}
+#: What makes a query one of time or of comparison, and capitalised words that name nothing.
+OF_TIME = r"(?:changed|evolved|history|timeline|over time|at|during|in \d{4})"
+OF_COMPARISON = r"(?:compare|contrast|vs|versus|difference|similar|like)"
+NO_NAMES = {"The", "A", "An", "This", "That", "These", "Those", "I", "You", "What", "How", "Why"}
+#: Modalities that start from the names in the query, and how many they need.
+NEEDS_NAMES = {"graph": 1, "history": 1, "entity": 1, "path": 2}
+
+
+def query_names(text: str) -> list[str]:
+    """Quoted phrases, then runs of capitalised words, each once."""
+    quoted = re.findall(r'"([^"]+)"', text)
+    capitals = [w for w in re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", text, re.ASCII) if w not in NO_NAMES]
+    return list(dict.fromkeys([*quoted, *capitals]))
 
 
 def classify_query(text: str) -> dict:
-    """Intent of a query with the modalities and the fusion it asks for."""
-    for intent, pattern, plan in INTENTS:
-        if re.search(pattern, text, re.I):
-            return {"intent": intent, **plan}
-    return {"intent": "general", "modalities": ["lexical", "vector"], "strategy": "weighted", "preset": "balanced"}
+    """intent, strategy, modalities (type, priority, params), confidence, names and the other intents matched.
+
+    Without a match a query explores, with confidence 0.85; one match gives
+    0.95, several 0.75.  A query of time looks at the history first; a complex
+    one (two of: several names, time, comparison with time; over two names; over
+    15 words) takes vector and graph search as well.
+    """
+    text = text.strip()
+    names = query_names(text)
+    timed, compared = re.search(OF_TIME, text, re.I) is not None, re.search(OF_COMPARISON, text, re.I) is not None
+    is_complex = timed and (len(names) > 1 or compared) or len(names) > 2 or len(text.split(" ")) > 15
+    matched = [intent for intent, patterns in INTENTS for p in patterns if re.search(p, text, re.I)]
+    intent = matched[0] if matched else "exploratory"
+    strategy, modalities = PLANS[intent]
+    plan = [{"type": kind, "priority": n, "params": params} for n, (kind, params) in enumerate(modalities, 1)]
+    has = lambda kind: any(m["type"] == kind for m in plan)
+    if is_complex and not has("vector"):
+        plan.append({"type": "vector", "priority": 99, "params": {"results": 10}})
+    if is_complex and not has("graph"):
+        plan.append({"type": "graph", "priority": 99, "params": {"hops": 2}})
+    if timed and not has("history"):
+        plan.insert(0, {"type": "history", "priority": 0, "params": {}})
+    confidence = 0.85 if not matched else 0.95 if len(matched) == 1 else 0.75
+    return {"intent": intent, "strategy": strategy, "modalities": plan, "confidence": confidence, "names": names, "also": matched[1:]}
+
+
+def multi_modal_search(text: str, searches: dict[str, Callable[[dict, list[str]], DataFrame]], per_title: int = 2) -> tuple[DataFrame | None, dict]:
+    """(results (id, title, score), plan): the searches that the query's plan asks for, fused as it says, few of one title.
+
+    ``searches`` gives for a modality a function of its parameters and the
+    query's names to (id, title, score).  A modality is left out if there is no
+    such function or the query has too few names for it; without any the result is None.
+    """
+    plan = classify_query(text)
+    used = [m for m in plan["modalities"] if m["type"] in searches and len(plan["names"]) >= NEEDS_NAMES.get(m["type"], 0)]
+    found = None
+    for m in used:
+        part = searches[m["type"]](m["params"], plan["names"]).select("id", "title", F.col("score").cast("double").alias("score"), F.lit(m["type"]).alias("modality"))
+        found = part if found is None else found.unionByName(part)
+    plan |= {"used": [m["type"] for m in used]}
+    if found is None:
+        return None, plan
+    titles = found.groupBy("id").agg(F.min("title").alias("title"))
+    fused = fuse(found, plan["strategy"], plan["used"]).select("id", "score").join(titles, "id")
+    return diversify(fused, most=per_title), plan
 
 
 def fuse(results: DataFrame, strategy: str, order: list[str] | None = None) -> DataFrame:

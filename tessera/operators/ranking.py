@@ -7,6 +7,8 @@ top-k.  Only rows of the query's terms leave the scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +151,102 @@ def match_boolean(postings: DataFrame, key: str, must: list[str] = (), should: l
     return grouped.where((F.col("m") == len(set(must))) & (F.col("n") == 0) & (F.col("some") if should or prefixes else F.lit(True))).select(key)
 
 
+def parse_match(query: str) -> tuple[tuple, list[tuple[tuple[str, ...], bool]]]:
+    """(tree, phrases) of a match query: words, "phrases", prefix*, AND, OR, NOT and brackets.
+
+    NOT binds tighter than AND, AND than OR; items side by side stand in an AND
+    that binds tightest.  A leaf of the tree is the number of a phrase (words, whether the last is a prefix).
+    """
+    tokens = [m[0] for m in re.finditer(r'"[^"]*"\s*\*?|[()]|[^\s()"]+', query)]
+    phrases: list[tuple[tuple[str, ...], bool]] = []
+    at = 0
+
+    def leaf(token: str):
+        words = tuple(w for w in re.split(r"[^\w]|_", token.lower()) if w)
+        if not words:
+            raise ValueError(f"no word in {token!r}")
+        phrases.append((words, token.endswith("*")))
+        return ("phrase", len(phrases) - 1)
+
+    def item():
+        nonlocal at
+        if at >= len(tokens) or tokens[at] in ("AND", "OR", "NOT", ")"):
+            raise ValueError(f"a word or phrase is missing in {query!r}")
+        token = tokens[at]
+        at += 1
+        if token != "(":
+            return leaf(token)
+        tree = either()
+        if at >= len(tokens):
+            raise ValueError(f"a bracket is open in {query!r}")
+        at += 1
+        return tree
+
+    def beside():
+        tree = item()
+        while at < len(tokens) and tokens[at] not in ("AND", "OR", "NOT", ")"):
+            tree = ("and", tree, item())
+        return tree
+
+    def level(word: str, kind: str, below):
+        def parse():
+            nonlocal at
+            tree = below()
+            while at < len(tokens) and tokens[at] == word:
+                at += 1
+                tree = (kind, tree, below())
+            return tree
+
+        return parse
+
+    either = level("OR", "or", level("AND", "and", level("NOT", "not", beside)))
+    tree = either()
+    if at < len(tokens):
+        raise ValueError(f"a bracket too many in {query!r}")
+    return tree, phrases
+
+
+def match_ranked(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", limit: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, rank): rows whose text meets a match query (see parse_match), by BM25 over its phrases; the best has the least rank.
+
+    Two scans of the texts and no shuffle of them: one counts the corpus and the
+    phrases' documents in a single row, the other scores the rows that match.
+    Null texts match nothing and count as empty.
+    """
+    tree, phrases = parse_match(query)
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def places(phrase: tuple[tuple[str, ...], bool]) -> Column:
+        want, prefix = phrase
+
+        def stands(w: Column, i: Column) -> Column:
+            ok = F.startswith(w, F.lit(want[-1])) if prefix and len(want) == 1 else w == want[0]
+            for n in range(1, len(want)):
+                there = F.get(F.col("_w"), i + n)
+                ok = ok & F.coalesce(F.startswith(there, F.lit(want[n])) if prefix and n == len(want) - 1 else there == want[n], F.lit(False))
+            return ok
+
+        return F.size(F.filter("_w", stands))
+
+    rows = docs.select(key, words.alias("_w")).select(key, F.size("_w").alias("_n"), F.array(*map(places, phrases)).alias("_f"))
+    held = [F.sum((F.col("_f")[i] > 0).cast("long")).alias(f"_h{i}") for i in range(len(phrases))]
+    corpus = rows.agg(F.count("*").alias("_total"), F.avg("_n").alias("_average"), *held)
+
+    def meets(node: tuple) -> Column:
+        if node[0] == "phrase":
+            return F.col("_f")[node[1]] > 0
+        left, right = meets(node[1]), meets(node[2])
+        return left & right if node[0] == "and" else left | right if node[0] == "or" else left & ~right
+
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        f, h = F.col("_f")[i], F.col(f"_h{i}")
+        idf = F.log((F.col("_total") - h + 0.5) / (h + 0.5))
+        score = score + F.when(idf > 0, idf).otherwise(1e-6) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_n") / F.col("_average")))
+    found = rows.where(meets(tree)).crossJoin(F.broadcast(corpus)).select(key, (-score).alias("rank"))
+    return found if limit is None else found.orderBy(F.round("rank", 9), key).limit(limit)
+
+
 def accumulate(postings: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
     """Term-at-a-time partial scores (key, term, part), so that new postings can be added by a sum."""
     return score(postings, terms, key, strategy="none", phrase=False).select(key, F.explode("terms").alias("t")).select(key, "t.term", "t.part")

@@ -162,6 +162,19 @@ def b_match(t):
     return R.match_boolean(postings(t), "doc_id", must=["the"], should=["ering"], must_not=["was"], prefixes=["thion"])
 
 
+_MATCH = '("ering the" OR thion*) AND the NOT "the was"'
+
+
+@query("b_match_ranked", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, len(w) AS n, len(list_filter(range(1, len(w)), lambda i: w[i] = 'ering' AND w[i + 1] = 'the')) AS a, len(list_filter(w, lambda x: starts_with(x, 'thion'))) AS b,
+  len(list_filter(w, lambda x: x = 'the')) AS c, len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'was')) AS d FROM w),
+k AS (SELECT count(*) AS t, avg(n) AS m, [count(*) FILTER (a > 0), count(*) FILTER (b > 0), count(*) FILTER (c > 0), count(*) FILTER (d > 0)] AS h FROM f),
+i AS (SELECT m, list_transform(h, lambda x: CASE WHEN ln((t - x + 0.5) / (x + 0.5)) > 0 THEN ln((t - x + 0.5) / (x + 0.5)) ELSE 1e-6 END) AS g FROM k)
+SELECT doc_id, round(-list_sum([g[j] * [a, b, c, d][j] * 2.2 / ([a, b, c, d][j] + 1.2 * (0.25 + 0.75 * n / m)) FOR j IN range(1, 5)]), 5) AS rank FROM f, i WHERE (a > 0 OR b > 0) AND c > 0 AND d = 0""")
+def b_match_ranked(t):
+    return R.match_ranked(t.documents, _MATCH).select("doc_id", F.round("rank", 5).alias("rank"))
+
+
 @query("e_note_index_and_replace", "SELECT count(DISTINCT doc_id) AS notes FROM documents WHERE length(trim(text)) > 0")
 def e_index(t):
     c = rag.chunk(t.documents)

@@ -167,6 +167,19 @@ def x_variety(t):
     return b.select("doc_id", F.round(T.variety_score(F.col("cs")), 4).alias("variety")).join(d, "doc_id")
 
 
+@query("x_flow_insights", rf"""WITH s AS (SELECT row_number() OVER () AS r, doc_id, list_transform(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''),
+  lambda x: len(list_filter(regexp_split_to_array(regexp_replace(x, '[^a-zA-Z0-9_\s''-]', ' ', 'g'), '\s+'), lambda w: w <> ''))) AS k FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, [len(list_filter(k, lambda n: n = 1)), len(list_filter(k, lambda n: n <> 1 AND n <= 6)), len(list_filter(k, lambda n: n BETWEEN 7 AND 15)), len(list_filter(k, lambda n: n BETWEEN 16 AND 25)), len(list_filter(k, lambda n: n BETWEEN 26 AND 39)), len(list_filter(k, lambda n: n >= 40))] AS c,
+  array_to_string([CASE WHEN abs(k[i + 1] - k[i]) <= 3 THEN '1' ELSE '0' END FOR i IN range(1, len(k))], '') AS near FROM s)
+SELECT doc_id, CASE WHEN len(k) > 0 THEN ['one', 'short', 'medium', 'long', 'longer', 'longest'][list_position(c, list_max(c))] END AS dominant_range, coalesce(contains(near, '1111'), false) AS has_monotony,
+  CAST(coalesce(list_sum([greatest(length(x) - 1, 0) FOR x IN regexp_extract_all(near, '1+')]), 0) AS BIGINT) AS consecutive_patterns FROM b""")
+def x_flow(t):
+    lengths = F.transform(T.sentences(F.col("text")), lambda s: F.size(T.words(s)))
+    flow = T.flow_insights(F.col("k"))
+    rows = t.documents.where("text IS NOT NULL").select("doc_id", lengths.alias("k")).select("doc_id", flow.alias("f"))
+    return rows.select("doc_id", "f.dominant_range", "f.has_monotony", F.col("f.consecutive_patterns").cast("long").alias("consecutive_patterns"))
+
+
 @query("x_consecutive_runs", """WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, abs(l_quantity - lag(l_quantity) OVER w) <= 10 AS near, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity)),
 g AS (SELECT *, sum(CASE WHEN coalesce(near, false) THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS island FROM o),
 r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey, island ORDER BY l_linenumber, l_quantity) AS place FROM g)

@@ -220,3 +220,12 @@ def u_plan(t):
     plan = U.classify_query("how is part 3 related to part 6")
     fused = U.fuse(lists(t), plan["strategy"])
     return fused.select("id", F.round("score", 6).alias("score"), F.lit(plan["intent"]).alias("intent")).orderBy(F.desc("score"), "id").limit(50)
+
+
+@query("u_multi_modal_search", f"""WITH {_LISTS}, m AS (SELECT *, score / max(score) OVER (PARTITION BY modality) * CASE modality WHEN 'vector' THEN 0.4 ELSE 0.2 END AS s FROM r WHERE modality <> 'fts'),
+f AS (SELECT id, min(title) AS title, sum(s) AS score FROM m GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY score DESC, id) AS n FROM f) SELECT id, title, round(score, 6) AS score FROM n WHERE n <= 2""")
+def u_multi(t):
+    """A question of relationship: paths (none are given here), the graph and vectors, weighted, two of a title; lexical search has no part in it."""
+    found = lambda name: lambda params, names: lists(t).where(F.col("modality") == name)
+    out, _ = U.multi_modal_search('how is "Part 3" related to "Part 6"', {n: found(n) for n in ("vector", "fts", "graph")})
+    return out.select("id", "title", F.round("score", 6).alias("score"))

@@ -309,3 +309,69 @@ def test_deltas_schemas_and_models(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.compile_schema([{"name": "n", "type": "odd"}])
     assert fusion.select_model("short", 10_000) == "small" and fusion.select_model("short", 10) == "medium"
+
+
+@pytest.mark.parametrize(
+    ("text", "intent", "strategy", "kinds", "confidence"),
+    [
+        ("Who is Frodo?", "entity_lookup", "ranked", ["fts", "entity", "graph"], 0.95),
+        ("define honour", "entity_lookup", "ranked", ["fts", "entity", "graph"], 0.95),
+        # "related to" is of meaning, too, and the letters "at" in it count as of time: the patterns know no word boundaries.
+        ("how is Frodo related to Sam", "relationship", "weighted", ["history", "path", "graph", "vector"], 0.75),
+        ("shortest route from Rome to Paris", "path_finding", "ranked", ["path", "graph"], 0.95),
+        ("get all linked to Rome", "neighborhood", "ranked", ["fts", "graph"], 0.95),
+        ("how has magic evolved", "evolution", "weighted", ["history", "vector", "graph"], 0.95),
+        ("chronology of Rome", "timeline", "ranked", ["history", "fts"], 0.95),
+        ("Rome during winter", "snapshot", "ranked", ["history", "entity"], 0.95),
+        ("themes about loss", "semantic", "weighted", ["vector", "graph"], 0.95),
+        ("meaning of honour", "conceptual", "union", ["vector", "fts", "entity"], 0.95),
+        ("which clusters contain mages", "community", "ranked", ["community", "graph"], 0.95),
+        ("dogs versus wolves", "comparison", "weighted", ["entity", "path", "vector", "graph"], 0.95),
+        ("list all rings", "aggregation", "union", ["vector", "fts", "graph"], 0.95),
+        ("tell me about rings", "exploratory", "weighted", ["vector", "entity", "graph", "fts"], 0.95),
+        ("discover rings", "discovery", "weighted", ["vector", "community", "graph"], 0.95),
+        ("rings", "exploratory", "weighted", ["vector", "entity", "graph", "fts"], 0.85),
+        # Names and time make it complex: vector and graph search come on top.
+        ("history of Rome, Paris and Oslo", "timeline", "ranked", ["history", "fts", "vector", "graph"], 0.95),
+        # Of time only: the history comes first.
+        ("list all rings that changed", "aggregation", "union", ["history", "vector", "fts", "graph"], 0.95),
+    ],
+)
+def test_intents(text, intent, strategy, kinds, confidence):
+    plan = fusion.classify_query(text)
+    assert (plan["intent"], plan["strategy"], [m["type"] for m in plan["modalities"]], plan["confidence"]) == (intent, strategy, kinds, confidence)
+
+
+def test_names_of_a_query():
+    assert fusion.query_names('What links "the old well" to Tom Bombadil and You, or Rome?') == ["the old well", "Tom Bombadil", "Rome"]
+
+
+def test_multi_modal_search_takes_what_it_has_names_for(spark):
+    rows = lambda *r: lambda params, names: spark.createDataFrame(list(r), "id long, title string, score double")
+    searches = {"fts": rows((1, "a", 2.0), (2, "A ", 1.0), (3, "a", 0.5)), "entity": rows((9, "z", 1.0)), "graph": rows((9, "z", 1.0))}
+    out, plan = fusion.multi_modal_search("who is that", searches)  # no names: lexical only
+    assert plan["used"] == ["fts"] and {r["id"] for r in out.collect()} == {1, 2}
+    out, plan = fusion.multi_modal_search("who is Rome", searches)
+    assert plan["used"] == ["fts", "entity", "graph"] and {r["id"] for r in out.collect()} == {1, 2, 9}
+    assert fusion.multi_modal_search("who is Rome", {})[0] is None
+
+
+def test_match_queries(spark):
+    assert R.parse_match('a "b c" OR d* NOT (e AND f)')[0] == ("or", ("and", ("phrase", 0), ("phrase", 1)), ("not", ("phrase", 2), ("and", ("phrase", 3), ("phrase", 4))))
+    for bad in ("", "a AND", "(a", "a)", "NOT a", '"..."'):
+        with pytest.raises(ValueError):
+            R.parse_match(bad)
+    docs = spark.createDataFrame([(1, "red fox and red hen"), (2, "the fox, red"), (3, None), (4, ""), (5, "redder foxes"), (6, "Red FOX")], "doc_id long, text string")
+    ids = lambda q: [r["doc_id"] for r in R.match_ranked(docs, q, limit=10).collect()]
+    assert ids('"red fox"') == [6, 1]  # the shorter one ranks first
+    assert sorted(ids("red*")) == [1, 2, 5, 6] and sorted(ids("fox*")) == [1, 2, 5, 6]
+    assert ids("fox NOT hen NOT the") == [6] and sorted(ids("hen OR redder")) == [1, 5]
+    assert sorted(ids('"red fo*"')) == [] and sorted(ids('"red fo"*')) == [1, 6]
+
+
+def test_flow_of_sentences(spark):
+    from tessera.functions import text as T
+
+    rows = spark.createDataFrame([(1, [5, 6, 7, 6, 5]), (2, [1, 9, 30]), (3, []), (4, [4, 4, 20, 4, 4])], "id long, k array<int>")
+    got = {r["id"]: (r["f"]["consecutive_patterns"], r["f"]["dominant_range"], r["f"]["has_monotony"]) for r in rows.select("id", T.flow_insights(F.col("k")).alias("f")).collect()}
+    assert got == {1: (3, "short", True), 2: (0, "one", False), 3: (0, None, False), 4: (0, "short", False)}
