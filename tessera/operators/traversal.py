@@ -229,3 +229,9 @@ def folder_notes_and_links(folders: DataFrame, notes: DataFrame, links: DataFram
 
 def path_weight(weights: Column) -> Column:
     return F.aggregate(weights, F.lit(1.0), lambda a, w: a * w)
+
+
+def relatives(edges: DataFrame, node, entities: DataFrame, up: bool = False) -> DataFrame:
+    """Descendants, or with ``up`` ancestors, of ``node`` with the columns of their entity (id, ...); those without an entity are left out."""
+    found = ancestors(edges, node) if up else descendants(edges, node)
+    return found.join(entities.withColumnRenamed("id", "node"), "node")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import cooccurrence as C
-from tessera.operators import extraction, rag, records, scanning
+from tessera.operators import bindings, extraction, rag, records, scanning
 from tessera.operators.service import SearchService, expanded_search
-from tessera.operators.traversal import shared_dir
+from tessera.operators.traversal import relatives, shared_dir
 from tessera.operators.vector_search import PartitionedIndex
 from tessera.plans.documents import _MARKED, TERMS, _fields, _score_sql, _top, marked
+from tessera.plans.graphs import tree
 from tessera.plans.registry import query
 from tessera.plans.searches import Q
 from tessera.sources import indexes as X
@@ -167,3 +168,37 @@ def k_scope(t):
     S.overwrite_scope(rows, path)
     S.overwrite_scope(rows.where("group_id = 'F'").withColumn("o_custkey", F.lit(0).cast("long")), path)
     return t.spark.read.parquet(path).groupBy("group_id").agg(F.sum("o_custkey").cast("long").alias("total"))
+
+
+@query("e_job_queue", """WITH j AS (SELECT event_id, user_id AS node_id, ts, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 2 END AS level FROM events WHERE user_id % 7 <> 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS n FROM j) SELECT node_id, event_id, row_number() OVER (ORDER BY level, ts, event_id) AS place FROM l WHERE n = 1 AND level IS NOT NULL""")
+def e_queue(t):
+    kind = F.col("event_type")
+    priority = F.when(kind == "purchase", "high").when(kind == "signup", "normal").when(kind == "view", "low").when(kind == "click", "normal")
+    jobs = t.events.select("event_id", F.col("user_id").alias("node_id"), "ts", priority.alias("priority"))
+    busy = t.events.where("user_id % 7 = 0").select(F.col("user_id").alias("node_id"))
+    return M.job_queue(jobs, busy, order=("ts", "event_id")).select("node_id", "event_id", "place")
+
+
+def _enrolled(t):
+    kind = F.element_at(F.array(F.lit("PARENT_OF"), F.lit("begat"), F.lit("other")), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    rels = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rel_id"), kind.alias("type"))
+    rules = t.spark.range(1).select(F.lit("family").alias("schema_id"), F.lit("PARENT_OF").alias("code"), F.lit("parent").alias("label"), F.array(F.lit("begat")).alias("keywords"))
+    return bindings.enrol(rels, rules, t.region.select(F.col("r_regionkey").alias("network_id"), F.lit("family").alias("schema_id")))
+
+
+@query("n_bulk_enrolment", "SELECT l_orderkey * 10 + l_linenumber AS rel_id, r_regionkey AS network_id, CASE l_suppkey % 3 WHEN 0 THEN 1.0 ELSE 0.75 END AS confidence FROM lineitem, region WHERE l_suppkey % 3 < 2")
+def n_enrolment(t):
+    return _enrolled(t)[0].select("rel_id", "network_id", "confidence")
+
+
+@query("n_enrolment_counts", "SELECT count(*) FILTER (l_suppkey % 3 < 2) AS enrolled, count(*) FILTER (l_suppkey % 3 = 2) AS skipped FROM lineitem")
+def n_enrolment_counts(t):
+    return _enrolled(t)[1]
+
+
+@query("r_narrative_relatives", """SELECT s_suppkey + 1000 AS node, 2 AS depth, s_name AS name, 'supplier' AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0
+UNION ALL SELECT n_nationkey + 100, 1, n_name, 'nation' FROM nation WHERE n_regionkey = 0""")
+def r_narrative(t):
+    one = lambda df, key, name, plus, kind: df.select((F.col(key) + plus).cast("long").alias("id"), F.col(name).alias("name"), F.lit(kind).alias("kind"))
+    return relatives(tree(t), 1, one(t.nation, "n_nationkey", "n_name", 100, "nation").unionByName(one(t.supplier, "s_suppkey", "s_name", 1000, "supplier")))

@@ -46,22 +46,68 @@ def _fold_rows(rows: list[tuple[str, str | None]], state=None, delete_wins: bool
     return state
 
 
-def coalesce(deltas: DataFrame, delete_wins: bool = False) -> DataFrame:
+#: What a slice of deltas does to a key, for each operation it may find.
+STATES = (None, "INSERT", "UPDATE", "DELETE")
+SLICE = "id string, slice long, type string, n long, effects array<struct<operation: string, keeps: boolean, payload: string>>"
+#: Marks fields from before a slice: the fold carries the mark on or drops it with them.
+BEFORE = "\x00before"
+
+
+def _runs(batches: Iterator[pd.DataFrame], key: list[str], start: Callable, step: Callable, end: Callable) -> Iterator[pd.DataFrame]:
+    """A fold over each run of rows with an equal key, in sorted batches: ``start`` of the first row, ``step`` of each; rows that ``end`` gives, a frame a batch."""
+    at, state = None, None
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            here = tuple(getattr(row, c) for c in key)
+            if state is None or here != at:
+                out += [] if state is None else end(at, state)
+                at, state = here, start(row)
+            state = step(state, row)
+        if out:
+            yield pd.DataFrame(out)
+    if state is not None and (out := end(at, state)):
+        yield pd.DataFrame(out)
+
+
+def coalesce(deltas: DataFrame, delete_wins: bool = False, seconds: int = 86400) -> DataFrame:
     """(id, type, operation, payload, version, applied): what is left of each key's deltas; keys that cancel are left out.
 
-    version counts the key's deltas.  A key's deltas go to one task; a key with
-    more deltas than a task holds should be folded in time slices first, which
-    the fold allows.
+    version counts the key's deltas; deltas without a time come first.  The fold
+    is associative: the deltas of a key are folded within slices of ``seconds``,
+    and then the slices in order, so a key with very many deltas is dealt over
+    as many tasks as it has slices.  Rows are sorted and run through one by one;
+    no task holds more of a key than its state.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        operation, data = _fold_rows(list(zip(pdf["operation"], pdf["payload"], strict=True)), None, delete_wins)
-        if operation is None:
-            return pd.DataFrame(columns=["id", "type", "operation", "payload", "version", "applied"])
-        return pd.DataFrame([{"id": pdf["id"].iloc[0], "type": pdf["type"].iloc[0], "operation": operation, "payload": json.dumps(data, sort_keys=True), "version": len(pdf), "applied": len(pdf)}])
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def step(state, row):
+            data = json.loads(row.payload) if row.payload else {}
+            return state[0], state[1] + 1, [fold(was, row.operation, data, delete_wins) for was in state[2]]
 
-    return deltas.groupBy("id").applyInPandas(run, OUTPUT)
+        def end(at, state):
+            effects = [{"operation": operation, "keeps": BEFORE in data, "payload": json.dumps({k: v for k, v in data.items() if k != BEFORE})} for operation, data in state[2]]
+            return [{"id": at[0], "slice": at[1], "type": state[0], "n": state[1], "effects": effects}]
+
+        return _runs(batches, ["id", "slice"], lambda row: (row.type, 0, [(was, {BEFORE: 1}) for was in STATES]), step, end)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def step(state, row):
+            kind, n, operation, data = state
+            found = row.effects[STATES.index(operation)]
+            return kind, n + row.n, found["operation"], {**(data if found["keeps"] else {}), **json.loads(found["payload"])}
+
+        def end(at, state):
+            kind, n, operation, data = state
+            row = {"id": at[0], "type": kind, "operation": operation, "payload": json.dumps(data, sort_keys=True), "version": n, "applied": n}
+            return [] if operation is None else [row]
+
+        return _runs(batches, ["id"], lambda row: (row.type, 0, None, {}), step, end)
+
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62)))
+    rows = deltas.select("id", "type", "operation", "payload", "seq", at.alias("_at"), F.floor(at / F.lit(seconds * 1_000_000)).alias("slice"))
+    sliced = rows.repartition("id", "slice").sortWithinPartitions("id", "slice", "_at", "seq").mapInPandas(partial, SLICE)
+    return sliced.repartition("id").sortWithinPartitions("id", "slice").mapInPandas(whole, OUTPUT)
 
 
 def coalesce_operations(deltas: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -187,6 +233,22 @@ def mention_batches(events: DataFrame, size: int = 100, order: tuple[str, ...] =
     return placed.groupBy(F.floor((F.col("place") - 1) / size).alias("batch"), entity).agg(F.count("*").alias("n"))
 
 
+#: Order in which jobs are taken.
+PRIORITIES = ("high", "normal", "low")
+
+
+def job_queue(jobs: DataFrame, processing: DataFrame | None = None, node: str = "node_id", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+    """``jobs`` with their ``place`` in the queue: of a node's jobs the last enqueued counts, nodes in ``processing`` (node) are not enqueued,
+    high priority goes before normal and low, the first enqueued before the next.  Jobs of other priorities are left out."""
+    from tessera.operators.ordering import with_place
+
+    level = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("priority"))
+    waiting = jobs if processing is None else jobs.join(processing.select(node).distinct(), node, "left_anti")
+    last = waiting.groupBy(node).agg(F.max_by(F.struct(*[c for c in jobs.columns if c != node]), F.struct(*order)).alias("_j")).select(node, "_j.*").select(*jobs.columns)
+    queued = last.withColumn("_level", level).where("_level > 0")
+    return with_place(queued, "_level", *order, node).drop("_level")
+
+
 def flush_ready(pending: Column, oldest_ms: Column, since_last_ms: Column, debounce_ms: int = 50, max_wait_ms: int = 200, most: int = 100) -> Column:
     """Whether a buffer should be flushed: quiet for the debounce, waited the longest, or full."""
     return (pending > 0) & ((since_last_ms >= debounce_ms) | (oldest_ms >= max_wait_ms) | (pending >= most))

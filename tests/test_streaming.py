@@ -1,5 +1,8 @@
 """The delta fold as a stream gives what the batch gives."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.streaming import cdc
@@ -34,3 +37,32 @@ def test_foreach_batch(spark, tmp_path):
     q = cdc.apply_stream(spark.readStream.schema(deltas(spark).schema).parquet(source), lambda df, n: seen.extend(r["id"] for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(seen) == ["a", "c"]
+
+
+def test_slices_fold_as_one(spark):
+    rnd = random.Random(5)
+    rows = []
+    for key in range(60):
+        for n in range(rnd.randint(1, 12)):
+            operation = rnd.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"])
+            payload = None if operation == "DELETE" else json.dumps({rnd.choice("xyz"): rnd.randint(0, 9)})
+            rows.append((str(key), "node", operation, payload, n, rnd.choice([None, *range(0, 6 * 3600, 1200)])))
+    table = spark.createDataFrame(rows, "id string, type string, operation string, payload string, seq long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for wins in (False, True):
+        want = {}
+        for key in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[5] is not None, r[5] or 0, r[4]))
+            state = cdc._fold_rows([(r[2], r[3]) for r in own], None, wins)
+            if state[0] is not None:
+                want[key] = (state[0], json.loads(json.dumps(state[1])), len(own))
+        for seconds in (60, 3600, 1 << 40):
+            got = cdc.coalesce(table.select("id", "type", "operation", "payload", "ts", "seq"), wins, seconds).collect()
+            assert {r["id"]: (r["operation"], json.loads(r["payload"]), r["version"]) for r in got} == want
+
+
+def test_queue_of_jobs(spark):
+    rows = [("a", "low", 1), ("b", "normal", 2), ("c", "high", 3), ("a", "high", 4), ("d", "normal", 5), ("e", "odd", 6), ("f", "high", 7)]
+    jobs = spark.createDataFrame(rows, "node_id string, priority string, seq long")
+    busy = spark.createDataFrame([("f",)], "node_id string")
+    got = sorted((r["place"], r["node_id"]) for r in cdc.job_queue(jobs, busy, order=("seq",)).collect())
+    assert got == [(1, "c"), (2, "a"), (3, "b"), (4, "d")]
