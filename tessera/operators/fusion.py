@@ -306,3 +306,9 @@ def fuse(results: DataFrame, strategy: str, order: list[str] | None = None) -> D
 def select_model(query: str, corpus_size: int) -> str:
     """Long queries and small corpora take the larger embedding model."""
     return "medium" if len(query.split()) > 8 or corpus_size < 1000 else "small"
+
+
+def model_for(query: Column, corpus_size: int) -> Column:
+    """``select_model`` of each query; a null one counts as empty."""
+    words = F.filter(F.split(F.coalesce(query, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.when((F.size(words) > 8) | F.lit(corpus_size < 1000), "medium").otherwise("small")

@@ -96,6 +96,48 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def strong_components_of(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of its strongly connected component, over a directed graph of any size.
+
+    Nodes without a way in or out stand alone and go first, again and again.
+    Then every node takes the least node that reaches it as its colour; a node
+    of its own colour is the least of its component, and the component is what
+    reaches it within the colour.  That is cut off, and the rest is coloured
+    anew.  The rounds grow with the longest way through the graph.
+    """
+    links = _cut(edges.select("source", "target").where(F.col("source") != F.col("target")).distinct())
+    live, done = _cut(nodes_of(edges)), None
+    within = lambda nodes: _cut(links.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target"))
+    while not live.isEmpty():
+        through = links.select(F.col("source").alias("node")).intersect(links.select("target"))
+        lone = _cut(live.join(through, "node", "left_anti"))
+        if not lone.isEmpty():
+            found = lone.select("node", F.col("node").alias("component"))
+        else:
+            colour, changed = _cut(live.withColumn("colour", F.col("node"))), True
+            while changed:
+                into = links.join(colour, links.source == colour.node).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("near"))
+                spread = _cut(colour.join(into, "node", "left").select("node", F.least("colour", "near").alias("colour"), F.col("colour").alias("old")))
+                changed = not spread.where(F.col("colour") != F.col("old")).isEmpty()
+                colour = spread.drop("old")
+            back = links.join(colour.toDF("source", "c"), "source").join(colour.toDF("target", "d"), "target").where("c = d")
+            back = _cut(back.select(F.col("target").alias("node"), F.col("source").alias("before"), F.col("c").alias("component")))
+            found = frontier = _cut(colour.where("node = colour").select("node", F.col("colour").alias("component")))
+            while not frontier.isEmpty():
+                step = frontier.join(back, ["node", "component"]).select(F.col("before").alias("node"), "component").distinct()
+                frontier = _cut(step.join(found, "node", "left_anti"))
+                found = _cut(found.unionByName(frontier))
+        done = found if done is None else _cut(done.unionByName(found))
+        live = _cut(live.join(found.select("node"), "node", "left_anti"))
+        links = within(live)
+    return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0) if done is None else done
+
+
+def isolated_subplots(components: DataFrame, most: int = 3) -> DataFrame:
+    """(component, size): components (node, component) of ``most`` nodes at most."""
+    return components.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= most)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an edge."""
     return nodes.join(nodes_of(edges), "node", "left_anti")

@@ -232,6 +232,19 @@ def g_strong(t):
     return G.strongly_connected(grouped(t), "group_id")
 
 
+_STRONG = f"{_WEB}, v AS (SELECT source AS node FROM e UNION SELECT target FROM e), c(s, n) AS (SELECT node, node FROM v UNION SELECT c.s, e.target FROM c JOIN e ON e.source = c.n), k AS (SELECT a.s AS node, min(a.n) AS component FROM c a JOIN c b ON a.s = b.n AND a.n = b.s GROUP BY 1)"
+
+
+@query("g_strong_components_whole", f"WITH RECURSIVE {_STRONG} SELECT node, component FROM k")
+def g_strong_whole(t):
+    return G.strong_components_of(web(t))
+
+
+@query("g_isolated_subplots", f"WITH RECURSIVE {_STRONG} SELECT component, count(*) AS size FROM k GROUP BY 1 HAVING count(*) <= 3")
+def g_isolated(t):
+    return G.isolated_subplots(G.strong_components_of(web(t)))
+
+
 @query("g_articulation_nodes")
 def g_critical(t):
     return G.critical_nodes(grouped(t), "group_id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions import json_delta as J
 from tessera.functions import vectors as V
+from tessera.functions.ranking import estimate_capacity
 from tessera.operators import cooccurrence as C
-from tessera.operators import bindings, extraction, rag, records, scanning
+from tessera.operators import bindings, extraction, fusion, rag, records, scanning
 from tessera.operators.service import SearchService, expanded_search
 from tessera.operators.traversal import relatives, shared_dir
 from tessera.operators.vector_search import PartitionedIndex
@@ -202,3 +206,55 @@ UNION ALL SELECT n_nationkey + 100, 1, n_name, 'nation' FROM nation WHERE n_regi
 def r_narrative(t):
     one = lambda df, key, name, plus, kind: df.select((F.col(key) + plus).cast("long").alias("id"), F.col(name).alias("name"), F.lit(kind).alias("kind"))
     return relatives(tree(t), 1, one(t.nation, "n_nationkey", "n_name", 100, "nation").unionByName(one(t.supplier, "s_suppkey", "s_name", 1000, "supplier")))
+
+
+@query("b_estimate_capacity", """WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT i AS terms, n, CASE WHEN n <= 100 THEN 155000.0 WHEN n <= 1000 THEN 8600.0 WHEN n <= 10000 THEN 437.0 ELSE 437.0 * 10000 / n END AS base FROM n, range(1, 6) r(i))
+SELECT terms, round(base / terms ** 1.5, 3) AS max_qps, round(base / terms ** 1.5 / 2, 3) AS sustained_qps FROM k""")
+def b_capacity(t):
+    n = t.documents.count()
+    found = [(k, estimate_capacity(n, k)) for k in range(1, 6)]
+    return t.spark.createDataFrame([(k, round(c["max_qps"], 3), round(c["sustained_qps"], 3)) for k, c in found], "terms long, max_qps double, sustained_qps double")
+
+
+@query("e_model_choice", r"SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) > 8 OR (SELECT count(*) FROM documents) < 1000 THEN 'medium' ELSE 'small' END AS model FROM documents")
+def e_model(t):
+    return t.documents.select("doc_id", fusion.model_for(F.col("text"), t.documents.count()).alias("model"))
+
+
+@query("z_validate_binding", """WITH c AS (SELECT min(o_custkey) AS k FROM orders), o AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_custkey = (SELECT k FROM c))
+SELECT 'itself' AS attempt, 'a field cannot be bound to itself' AS reason UNION ALL SELECT 'taken', CASE WHEN (SELECT k FROM o) IS NOT NULL THEN 'the field is bound already' END
+UNION ALL SELECT 'cycle', CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey = (SELECT k FROM o) AND o_custkey = (SELECT k FROM c)) THEN 'the binding closes a cycle' END UNION ALL SELECT 'fine', NULL""")
+def z_validate(t):
+    """Orders mirror their customer's balance; each attempt binds one more field."""
+    made = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("source_entity_id"), F.lit("twice").alias("source_field_name"), F.concat(F.lit("c"), "o_custkey").alias("target_entity_id"), F.lit("balance").alias("target_field_name"))
+    first = t.orders.agg(F.min(F.struct("o_custkey", "o_orderkey")).alias("f")).select("f.*").first()
+    order, customer = (f"o{first['o_orderkey']}", "twice"), (f"c{first['o_custkey']}", "balance")
+    attempts = [("itself", order, order), ("taken", order, ("x", "y")), ("cycle", customer, order), ("fine", ("x", "y"), order)]
+    return t.spark.createDataFrame([(n, bindings.validate_binding(made, a, b)) for n, a, b in attempts], "attempt string, reason string")
+
+
+@query("s_compiled_schema", "SELECT n_nationkey AS number, n_name AS title, n_name || ',' || n_regionkey AS tags FROM nation")
+def s_schema(t):
+    schema = S.compile_schema([{"name": "number", "type": "integer", "required": True}, {"name": "title", "type": "text"}, {"name": "tags", "type": "list"}])
+    rows = t.nation.select(F.col("n_nationkey").cast("long").alias("number"), F.col("n_name").alias("title"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("tags"))
+    path = folder(t, "schema")
+    S.export_relations(rows, path)
+    return S.import_relations(t.spark, path, schema).select("number", "title", F.array_join("tags", ",").alias("tags"))
+
+
+@query("x_json_patches", """SELECT event_id, user_id AS n, event_type AS kind, CAST(NULL AS VARCHAR) AS gone, event_id % 2 = 0 AS conflicts FROM events""")
+def x_patches(t):
+    """Each event as JSON with a nested field set, a field added and one removed; two edits of it conflict where one is above the other."""
+
+    @F.pandas_udf("patched string, conflicts boolean")
+    def patched(event: pd.Series, user: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        out = []
+        for e, u, k in zip(event, user, kind, strict=True):
+            done = J.apply_patches({"a": {"n": 0}, "gone": 1}, [{"op": "replace", "path": ["a", "n"], "value": int(u)}, {"op": "add", "path": ["b", "kind"], "value": k}, {"op": "remove", "path": ["gone"]}])
+            other = ("a",) if e % 2 == 0 else ("b",)
+            out.append((json.dumps(done), J.deltas_conflict([{"path": ("a", "n")}], [{"path": other}])))
+        return pd.DataFrame(out, columns=["patched", "conflicts"])
+
+    rows = t.events.select("event_id", patched("event_id", "user_id", "event_type").alias("p"))
+    get = lambda path: F.get_json_object("p.patched", path)
+    return rows.select("event_id", get("$.a.n").cast("long").alias("n"), get("$.b.kind").alias("kind"), get("$.gone").alias("gone"), F.col("p.conflicts").alias("conflicts"))

@@ -375,3 +375,11 @@ def test_flow_of_sentences(spark):
     rows = spark.createDataFrame([(1, [5, 6, 7, 6, 5]), (2, [1, 9, 30]), (3, []), (4, [4, 4, 20, 4, 4])], "id long, k array<int>")
     got = {r["id"]: (r["f"]["consecutive_patterns"], r["f"]["dominant_range"], r["f"]["has_monotony"]) for r in rows.select("id", T.flow_insights(F.col("k")).alias("f")).collect()}
     assert got == {1: (3, "short", True), 2: (0, "one", False), 3: (0, None, False), 4: (0, "short", False)}
+
+
+def test_strong_components_without_groups(spark):
+    rnd = random.Random(9)
+    for pairs in ([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6), (7, 8)], [(rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(45)], [(i, i + 1) for i in range(6)]):
+        edges = spark.createDataFrame(pairs, "source long, target long")
+        assert {r["node"]: r["component"] for r in G.strong_components_of(edges).collect()} == G.strong_components(pairs)
+    assert G.strong_components_of(edges.limit(0)).collect() == []
