@@ -64,10 +64,10 @@ class SearchService:
         key = (mode, k, tuple(terms), tuple(vector or ()), str(where), least, preset)
         if cached and (rows := self.cache.get(key)) is not None:
             return rows
-        try:
-            found = {"lexical": self._lexical, "semantic": self._semantic, "hybrid": self._hybrid}[mode](k, list(terms), vector, where, preset)
-        except KeyError:
-            raise ValueError(f"unknown search mode: {mode}") from None
+        modes = {"lexical": self._lexical, "semantic": self._semantic, "hybrid": self._hybrid}
+        if mode not in modes:
+            raise ValueError(f"unknown search mode: {mode}")
+        found = modes[mode](k, list(terms), vector, where, preset)
         if least is not None:
             found = found.where(F.col("score") >= least)
         nodes = self.nodes if where is None else self.nodes.where(where)
