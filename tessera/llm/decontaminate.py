@@ -169,13 +169,13 @@ class HashFilter:
         self.left, self.right = np.maximum(self.left, other.left), np.maximum(self.right, other.right)
 
     def passing(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys whose three bits are set."""
+        """Places of the keys whose three bits are set and whose high bits an item's hash has: others reach nowhere, and would make empty stretches."""
         at = None
         for part in range(len(_PARTS)):
             places = self._places(keys if at is None else keys[at], part)
             held = np.flatnonzero(self.bitmap[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1)
             at = held if at is None else at[held]
-        return at
+        return at[self.right[keys[at] >> np.uint64(64 - REACH_BITS)] > 0]
 
 
 def build_filter(items: DataFrame, count: int) -> HashFilter:

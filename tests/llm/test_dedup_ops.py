@@ -213,6 +213,37 @@ def test_random_partial_copies(spark, monkeypatch, limit):
     assert want == {(r["doc_id"], r["item_id"], r["matched"], r["length"]) for r in got.collect()} and len(want) > 10
 
 
+def test_hashes_let_through_by_chance_hide_no_overlap(spark, monkeypatch):
+    """A filter that passes every hash costs time only: what it lets through starts no stretch beside that of an overlap."""
+    build = decontaminate.build_filter
+
+    def passes_all(items, count):
+        held = build(items, count)
+        held.bitmap[:] = 255
+        return held
+
+    words = ITEM.split()
+    docs = spark.createDataFrame([(n, " ".join([*(f"d{n}a{i}" for i in range(n)), *words, *(f"d{n}b{i}" for i in range(n % 7))])) for n in range(60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "build_filter", passes_all)
+    got = {(r["doc_id"], r["matched"], r["start"]) for r in decontaminate.find_overlaps(docs, bench).collect()}
+    assert got == {(n, len(words), n) for n in range(60)}
+
+
+def test_stretches_of_a_text_start_apart():
+    """None is empty, though hashes pass whose high bits no item has."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    hashes, places = decontaminate.item_hashes(text[200:220])
+    held = decontaminate.HashFilter(decontaminate.LEAST_BITS)
+    held.add(hashes, places, 20 - places)
+    held.bitmap[:] = 255
+    begin, end, first, at, keys = decontaminate.find_stretches(text, np.array([0, 100, 400]), decontaminate.masks_for([]), held)
+    assert (begin < end).all() and len(set(begin.tolist())) == len(begin)
+    assert any(b <= 200 and e >= 220 for b, e in zip(begin.tolist(), end.tolist()))
+    assert set(hashes.tolist()) <= set(keys.tolist())
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string")
     assert decontaminate.find_overlaps(odd_docs, bench).count() == 0
