@@ -94,12 +94,12 @@ def common_ancestors(edges: DataFrame, a, b, depth: int | None = None) -> DataFr
 
 def shortest_path(edges: DataFrame, source, target, max_depth: int = 10, labels: bool = False) -> DataFrame:
     """(path array, hops) of a shortest undirected path, the least path where several are; with ``labels`` also the
-    edge types, INVERSE_ before those walked backwards."""
+    edge types, INVERSE_ before those that can only be walked backwards."""
     if labels:
-        links = edges.select("source", "target", "type").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), F.concat(F.lit("INVERSE_"), F.col("type")).alias("type")))
+        links = edges.select("source", "target", "type", F.lit(1).alias("way")).unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), F.concat(F.lit("INVERSE_"), F.col("type")).alias("type"), F.lit(2).alias("way")))
     else:
-        links = undirected(edges).withColumn("type", F.lit(""))
-    links = links.groupBy("source", "target").agg(F.min("type").alias("type")).select(F.col("source").alias("node"), F.col("target").alias("_next"), "type")
+        links = undirected(edges).withColumns({"type": F.lit(""), "way": F.lit(1)})
+    links = links.groupBy("source", "target").agg(F.min(F.struct("way", "type"))["type"].alias("type")).select(F.col("source").alias("node"), F.col("target").alias("_next"), "type")
     frontier = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"), F.array().cast("array<string>").alias("types"))
     seen = frontier.select("node")
     for level in range(max_depth + 1):
