@@ -22,7 +22,7 @@ from tessera.functions import scan as S
 BROADCAST_ENTITIES = 500_000
 
 
-_KINDS = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
 def _rows(docs: DataFrame, fn: Callable[[str], list[dict]], fields: dict[str, str], doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,6 +230,13 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
     return _rows(docs, lambda t: [{"idx": i, "start": a, "end": b} for i, (a, b) in enumerate(S.paragraph_spans(t))], {"idx": "int", "start": "int", "end": "int"})
 
 
+def span_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentences, paragraphs), a row for every document: 0 without a span, null for a null text."""
+    counted = _rows(docs.where("text is not null"), lambda t: [{"sentences": len(S.sentence_spans(t)), "paragraphs": len(S.paragraph_spans(t))}], {"sentences": "long", "paragraphs": "long"})
+    none = F.lit(None).cast("long")
+    return counted.unionByName(docs.where("text is null").select("doc_id", none.alias("sentences"), none.alias("paragraphs")))
+
+
 def concept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(concepts with counts, relations of a sentence): strength min(1, .5 + .1 (n - 1))."""
     def run(text):
