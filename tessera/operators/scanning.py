@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scan as S
+from tessera.operators.traversal import _cut
 
 #: Entities up to which a dictionary is broadcast (some 100 bytes each with its automaton).
 BROADCAST_ENTITIES = 500_000
@@ -283,30 +284,67 @@ def link_relevance(position_kind: Column, context: Column) -> Column:
     return 0.6 * place + 0.4 * F.when(F.length(context) > 50, 0.8).otherwise(0.5)
 
 
+#: Letters up to which strings meet on what deletions leave of them, by number of edits: at most some 2,500 keys a string.
+DELETED_UP_TO = {1: 64, 2: 40, 3: 24}
+
+
+def _deletions(text: Column, edits: int) -> Column:
+    """Hashes of all strings that up to ``edits`` deletions leave."""
+    def less(v: Column) -> Column:
+        return F.when(F.length(v) > 0, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v))))).otherwise(F.array().cast("array<string>"))
+
+    level = every = F.array(text)
+    for _ in range(edits):
+        level = F.array_distinct(F.flatten(F.transform(level, less)))
+        every = F.concat(every, level)
+    return F.transform(every, lambda v: F.xxhash64(v))
+
+
+def _meeting(names: DataFrame, aliases: DataFrame, edits: int) -> DataFrame:
+    """(low, alias, entity_id): at least all pairs of names (low) and aliases (alias, entity_id) within ``edits``."""
+    short = DELETED_UP_TO.get(edits, -1)
+    k = edits + 1
+    begin = lambda size, i: F.floor(size * i / k).cast("int")
+    size = F.length("alias")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(size.alias("size"), i.alias("part"), F.col("alias").substr(begin(size, i) + 1, begin(size, i + 1) - begin(size, i)).alias("text")))
+    right = aliases.where(size >= short + 1 - edits).select("entity_id", "alias", F.inline(parts))
+    low, length = F.col("low"), F.length("low")
+    shifts = F.sequence(F.lit(-edits), F.lit(edits))
+    keys = F.transform(F.sequence(F.greatest(length - edits, F.lit(0)), length + edits), lambda n: F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.transform(shifts, lambda d: F.struct(
+        n.cast("int").alias("size"), i.alias("part"), F.when(begin(n, i) + d >= 0, low.substr(begin(n, i) + d + 1, begin(n, i + 1) - begin(n, i))).alias("text")))))
+    left = names.where(length > short).select("low", F.explode(F.array_distinct(F.flatten(F.flatten(keys)))).alias("k")).select("low", "k.*").where("text is not null")
+    near = left.join(right, ["size", "part", "text"]).select("low", "alias", "entity_id")
+    if short < 0:
+        return near
+    left = names.where(length <= short).select("low", F.explode(_deletions(low, edits)).alias("k"))
+    right = aliases.where(size <= short + edits).select("alias", "entity_id", F.explode(_deletions(F.col("alias"), edits)).alias("k"))
+    return near.unionByName(left.join(right, "k").select("low", "alias", "entity_id"))
+
+
 def fuzzy_match(names: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
     """(name, entity_id, distance): the nearest entity name or alias within ``most`` edits.
 
-    names (name); entities (id, label, aliases).  An alias is cut into most + 1
-    parts; within that many edits one part stays whole in the name, at most
-    ``most`` places off, so only names and aliases that share a part at such a
-    place meet, and none within the distance is missed.
+    names (name); entities (id, label, aliases).  First those within one edit
+    are looked for; only names without any go on to two, and so on, so that
+    names that are like many others do not meet all of them.  Strings within d
+    edits have a string in common that d deletions or fewer leave of each.
+    Long ones (DELETED_UP_TO) are cut instead: an alias into d + 1 parts, of
+    which one stays whole in the name, at most d places off.  So none within
+    the distance is missed.
     """
     every = entities.select(F.col("id").alias("entity_id"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
-    right = every.select("entity_id", F.lower("alias").alias("alias")).where("alias is not null").distinct()
-    k = most + 1
-    begin = lambda size, i: F.floor(size * i / k).cast("int")
-    size = F.length("alias")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(size.alias("size"), i.alias("part"), F.expr("alias").substr(begin(size, i) + 1, begin(size, i + 1) - begin(size, i)).alias("text")))
-    right = right.select("entity_id", "alias", F.inline(parts))
-    low, length = F.lower("name"), F.length("name")
-    shifts = F.sequence(F.lit(-most), F.lit(most))
-    keys = F.transform(F.sequence(F.greatest(length - most, F.lit(0)), length + most), lambda n: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.transform(shifts, lambda d: F.struct(
-        n.cast("int").alias("size"), i.alias("part"), F.when(begin(n, i) + d >= 0, low.substr(begin(n, i) + d + 1, begin(n, i + 1) - begin(n, i))).alias("text")))))
-    left = names.select("name").where("name is not null").distinct().select("name", F.explode(F.array_distinct(F.flatten(F.flatten(keys)))).alias("k")).select("name", "k.*").where("text is not null")
-    near = left.join(right, ["size", "part", "text"]).select("name", "entity_id", "alias").distinct()
-    d = F.levenshtein(F.lower("name"), F.col("alias"), most)
-    best = near.withColumn("d", d).where(F.col("d") >= 0).groupBy("name").agg(F.min(F.struct("d", "entity_id")).alias("b"))
-    return best.select("name", "b.entity_id", F.col("b.d").alias("distance"))
+    right = every.where("alias is not null").groupBy(F.lower("alias").alias("alias")).agg(F.min(F.struct("entity_id"))["entity_id"].alias("entity_id"))
+    wanted = names.where("name is not null").select("name", F.lower("name").alias("low")).distinct()
+    left, best = wanted.select("low").distinct(), None
+    for edits in range(min(most, 1), most + 1):
+        d = F.levenshtein(F.col("low"), F.col("alias"), edits)
+        found = _cut(_meeting(left, right, edits).withColumn("d", d).where(F.col("d") >= 0).groupBy("low").agg(F.min(F.struct("d", "entity_id")).alias("b")))
+        best = found if best is None else best.unionByName(found)
+        if edits < most:
+            left = _cut(left.join(found, "low", "left_anti"))
+            if left.isEmpty():
+                break
+    return wanted.join(best, "low").select("name", "b.entity_id", F.col("b.d").alias("distance"))
 
 
 def changed_chunks(old: DataFrame, new: DataFrame, share: float = 0.3, most: int = 10) -> DataFrame:
