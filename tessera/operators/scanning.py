@@ -26,20 +26,27 @@ BROADCAST_ENTITIES = 500_000
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
+#: Texts that a worker turns into Python strings at once, and rows after which it gives out what it has.
+SLICE_TEXTS, SLICE_ROWS = 32, 4096
+
+
 def _rows(docs: DataFrame, fn: Callable[[str], list[dict]], fields: dict[str, str], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of fn(text) beside the document's id."""
+    """Rows of fn(text) beside the document's id.  A worker holds the rows of a few texts, not those of a whole Arrow batch."""
 
     def run(batches):
         for batch in batches:
             place, columns = [], {n: [] for n in fields}
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                for r in fn(body or ""):
-                    place.append(i)
-                    for n, column in columns.items():
-                        value = r.get(n)
-                        column.append(list(value.items()) if type(value) is dict else value)
-            ids = batch.column(0).take(pa.array(place, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, _KINDS[fields[n]]) for n, v in columns.items())], [doc, *fields])
+            for at in range(0, batch.num_rows, SLICE_TEXTS):
+                for i, body in enumerate(batch.column(1).slice(at, SLICE_TEXTS).to_pylist(), at):
+                    for r in fn(body or ""):
+                        place.append(i)
+                        for n, column in columns.items():
+                            value = r.get(n)
+                            column.append(list(value.items()) if type(value) is dict else value)
+                if len(place) >= SLICE_ROWS or at + SLICE_TEXTS >= batch.num_rows:
+                    ids = batch.column(0).take(pa.array(place, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, _KINDS[fields[n]]) for n, v in columns.items())], [doc, *fields])
+                    place, columns = [], {n: [] for n in fields}
 
     kind = docs.schema[doc].dataType.simpleString()
     return docs.select(doc, text).mapInArrow(run, f"{doc} {kind}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
@@ -64,11 +71,13 @@ _BUILT: dict[tuple, S.Dictionary] = {}
 def _shards(entities: DataFrame) -> list:
     """The dictionary as broadcasts of at most BROADCAST_ENTITIES rows or so each: one, if it is small."""
     rows = entities.select("id", "label", "kind", "aliases")
-    count = max(1, -(-rows.limit(BROADCAST_ENTITIES + 1).count() // BROADCAST_ENTITIES))
-    if count > 1:
-        count = -(-2 * rows.count() // BROADCAST_ENTITIES)  # twice as many, for hashes deal unevenly
     sc = entities.sparkSession.sparkContext
-    part = lambda k: rows if count == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k)
+    first = rows.limit(BROADCAST_ENTITIES + 1).collect()  # worked out once: a dictionary may be a count over all texts
+    if len(first) <= BROADCAST_ENTITIES:
+        return [sc.broadcast([tuple(r) for r in first])]
+    del first
+    count = -(-2 * rows.count() // BROADCAST_ENTITIES)  # twice as many, for hashes deal unevenly
+    part = lambda k: rows.where(F.pmod(F.xxhash64("id"), F.lit(count)) == k)
     return [sc.broadcast([tuple(r) for r in part(k).collect()]) for k in range(count)]
 
 
