@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from tessera.functions import chunking as C
 from tessera.functions import vectors as V
 from tessera.operators.vector_search import search_knn
 
+#: Texts that a worker cuts at once, and rows that a model reads at once.
+SLICE_TEXTS, EMBED_ROWS = 32, 1024
+
 
 def chunk(docs: DataFrame, size: int = 2048, overlap: int = 200, doc: str = "doc_id") -> DataFrame:
     """(chunk_id, doc, chunk_index, start, end, text) with byte offsets."""
@@ -28,22 +32,33 @@ def chunk_by_sentence(docs: DataFrame, size: int = 512, overlap: int = 1, doc: s
 
 
 def _chunks(docs: DataFrame, doc: str, fn) -> DataFrame:
+    """Chunks of fn(text); a worker holds those of a few texts, not of a whole Arrow batch."""
+    kind = docs.schema[doc].dataType
+
     def run(batches):
-        for pdf in batches:
-            rows = [(f"{key}_{i}", key, i, a, b, piece) for key, text in zip(pdf[doc], pdf["text"], strict=True) for i, (a, b, piece) in enumerate(fn(text or ""))]
-            yield pd.DataFrame(rows, columns=["chunk_id", doc, "chunk_index", "start", "end", "text"])
+        names = ["chunk_id", doc, "chunk_index", "start", "end", "text"]
+        types = [pa.string(), None, pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            types[1] = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, SLICE_TEXTS):
+                part = batch.slice(at, SLICE_TEXTS)
+                rows = [(f"{key}_{i}", key, i, a, b, piece) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, (a, b, piece) in enumerate(fn(text or ""))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(doc, "text").mapInPandas(run, f"chunk_id string, {doc} {docs.schema[doc].dataType.simpleString()}, chunk_index int, start long, end long, text string")
+    return docs.select(doc, "text").mapInArrow(run, f"chunk_id string, {doc} {kind.simpleString()}, chunk_index int, start long, end long, text string")
 
 
 def embed(chunks: DataFrame, model: Callable[[list[str]], np.ndarray], text: str = "text", title: str | None = None) -> DataFrame:
     """Rows with ``embedding``; with ``title`` the model reads 'title\\n---\\ntext'.  Vectors are normalised."""
     def run(batches):
-        for pdf in batches:
-            inputs = [f"{a}\n---\n{b}" for a, b in zip(pdf[title], pdf[text], strict=True)] if title else list(pdf[text])
-            m = np.asarray(model(inputs), float).reshape(len(inputs), -1)
-            size = np.linalg.norm(m, axis=1, keepdims=True)
-            yield pdf.assign(embedding=list(np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
+        for batch in batches:
+            for at in range(0, len(batch), EMBED_ROWS):
+                pdf = batch.iloc[at : at + EMBED_ROWS]
+                inputs = [f"{a}\n---\n{b}" for a, b in zip(pdf[title], pdf[text], strict=True)] if title else list(pdf[text])
+                m = np.asarray(model(inputs), float).reshape(len(inputs), -1)
+                size = np.linalg.norm(m, axis=1, keepdims=True)
+                yield pdf.assign(embedding=list(np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema)
     return chunks.mapInPandas(run, f"{fields}, embedding array<double>")
