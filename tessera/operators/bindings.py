@@ -87,8 +87,10 @@ def match_schemas(relationships: DataFrame, rules: DataFrame, least: float = 0.5
     keyword = F.exists("keywords", lambda k: F.contains(t, F.lower(k)))
     m = MATCH_CONFIDENCE
     score = F.when(t == code, m["code"]).when(t == label, m["label"]).when(F.contains(t, code) | F.contains(code, t), m["substring"]).when(keyword, m["keyword"]).otherwise(0.0)
+    from tessera.operators.traversal import small
+
     kinds = relationships.select("type").distinct().crossJoin(F.broadcast(rules)).groupBy("type", "schema_id").agg(F.max(score).alias("confidence")).where(F.col("confidence") > least)
-    return relationships.join(kinds, "type").select("rel_id", "schema_id", "confidence")
+    return relationships.join(small(kinds), "type").select("rel_id", "schema_id", "confidence")
 
 
 def enrol(relationships: DataFrame, rules: DataFrame, networks: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -99,8 +101,11 @@ def enrol(relationships: DataFrame, rules: DataFrame, networks: DataFrame, least
     confidence) joins a relationship with every network of a schema it matches;
     counts is one row (enrolled, skipped) of relationships with a membership and without.
     """
+    from tessera.operators.traversal import small
+
     types = relationships.select(F.col("type").alias("rel_id"), "type").distinct()
-    places = match_schemas(types, rules, least).join(networks.select("network_id", "schema_id"), "schema_id").withColumnRenamed("rel_id", "type")
+    places = small(match_schemas(types, rules, least).join(networks.select("network_id", "schema_id"), "schema_id").withColumnRenamed("rel_id", "type"))
     members = relationships.select("rel_id", "type").join(places, "type").select("rel_id", "network_id", "schema_id", "confidence")
-    marked = relationships.select("type").join(places.select("type").distinct().withColumn("_in", F.lit(1)), "type", "left")
-    return members, marked.agg(F.count("_in").alias("enrolled"), (F.count("*") - F.count("_in")).alias("skipped"))
+    counted = relationships.groupBy("type").agg(F.count("*").alias("n")).join(places.select("type").distinct().withColumn("_in", F.lit(1)), "type", "left")
+    marked = counted.agg(F.coalesce(F.sum(F.when(F.col("_in") == 1, F.col("n"))), F.lit(0)).alias("enrolled"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return members, marked.select("enrolled", (F.col("total") - F.col("enrolled")).alias("skipped"))
