@@ -36,6 +36,16 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A side of a join, worked out once, and to be broadcast if it has at most BROADCAST_ROWS rows."""
+    held = _cut(df)
+    return F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+
+
 def undirected(edges: DataFrame, *keep: str) -> DataFrame:
     return edges.select("source", "target", *keep).unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), *keep))
 
@@ -94,25 +104,42 @@ def common_ancestors(edges: DataFrame, a, b, depth: int | None = None) -> DataFr
 
 def shortest_path(edges: DataFrame, source, target, max_depth: int = 10, labels: bool = False) -> DataFrame:
     """(path array, hops) of a shortest undirected path, the least path where several are; with ``labels`` also the
-    edge types, INVERSE_ before those that can only be walked backwards."""
-    if labels:
-        links = edges.select("source", "target", "type", F.lit(1).alias("way")).unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), F.concat(F.lit("INVERSE_"), F.col("type")).alias("type"), F.lit(2).alias("way")))
-    else:
-        links = undirected(edges).withColumns({"type": F.lit(""), "way": F.lit(1)})
-    links = links.groupBy("source", "target").agg(F.min(F.struct("way", "type"))["type"].alias("type")).select(F.col("source").alias("node"), F.col("target").alias("_next"), "type")
-    frontier = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.array(F.lit(source)).alias("path"), F.array().cast("array<string>").alias("types"))
-    seen = frontier.select("node")
-    for level in range(max_depth + 1):
-        found = frontier.where(F.col("node") == F.lit(target))
-        if not found.isEmpty():
-            return found.select("path", *(["types"] if labels else []), F.lit(level).alias("hops"))
-        step = frontier.join(links, "node").select(F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"), F.concat("types", F.array("type")).alias("types"))
-        step = step.groupBy("node").agg(F.min(F.struct("path", "types")).alias("p")).select("node", "p.path", "p.types")
-        frontier = _cut(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
+    edge types, INVERSE_ before those that can only be walked backwards.
+
+    The walk out keeps nodes only, by level; the walk back finds which of them
+    lie on shortest paths, and the least of these is read off from the source on.
+    """
+    spark, kind = edges.sparkSession, edges.schema["source"].dataType
+    one = lambda v: spark.range(1).select(F.lit(v).cast(kind).alias("node"))
+    links = undirected(edges).select(F.col("source").alias("node"), F.col("target").alias("_next"))
+    near = lambda nodes: links.join(small(nodes), "node").select(F.col("_next").alias("node")).distinct()
+    levels = [one(source)]
+    seen, end = levels[0], F.col("node") == F.lit(target)
+    while levels[-1].where(end).isEmpty():
+        if len(levels) > max_depth:
+            levels = []
+            break
+        levels.append(_cut(near(levels[-1]).join(seen.select(F.col("node").alias("_seen")), F.col("node") == F.col("_seen"), "left_anti")))
+        if levels[-1].isEmpty():
+            levels = []
             break
-        seen = _cut(seen.union(frontier.select("node")))
-    return frontier.where(F.lit(False)).select("path", *(["types"] if labels else []), F.lit(0).alias("hops"))
+        seen = _cut(seen.union(levels[-1]))
+    hops = len(levels) - 1
+    path, types = [levels[0].first()[0]] if levels else [], []
+    on = [one(target)]
+    for level in range(hops - 1, 0, -1):
+        on.append(_cut(near(on[-1]).join(levels[level].select(F.col("node").alias("_on")), F.col("node") == F.col("_on"), "left_semi")))
+    for level in range(hops):
+        way = F.struct(F.lit(1).alias("way"), (F.col("type") if labels else F.lit("")).alias("type"))
+        back = F.struct(F.lit(2).alias("way"), (F.concat(F.lit("INVERSE_"), F.col("type")) if labels else F.lit("")).alias("type"))
+        here = F.lit(path[-1])
+        steps = edges.where(F.col("source") == here).select(F.col("target").alias("node"), way.alias("by")).unionByName(edges.where(F.col("target") == here).select(F.col("source").alias("node"), back.alias("by")))
+        best = steps.join(on[hops - 1 - level].select(F.col("node").alias("_on")), F.col("node") == F.col("_on"), "left_semi").agg(F.min(F.struct("node", "by")).alias("s")).select("s.node", "s.by.type").first()
+        path.append(best[0])
+        types.append(best[1])
+    array = lambda values, of: F.array(*[F.lit(v).cast(of) for v in values]).cast(f"array<{of}>")
+    found = spark.range(1).select(array(path, kind.simpleString()).alias("path"), *([array(types, "string").alias("types")] if labels else []), F.lit(max(hops, 0)).alias("hops"))
+    return found if levels else found.where(F.lit(False))
 
 
 def k_shortest_paths(edges: DataFrame, source, target, k: int = 3, max_depth: int = 6) -> DataFrame:
