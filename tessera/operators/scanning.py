@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scan as S
-from tessera.operators.traversal import _cut
+from tessera.operators.traversal import _cut, small
 
 #: Entities up to which a dictionary is broadcast (some 100 bytes each with its automaton).
 BROADCAST_ENTITIES = 500_000
@@ -122,18 +122,23 @@ def find_exact(docs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def find_mentions_by_join(docs: DataFrame, entities: DataFrame, most_words: int = 4) -> DataFrame:
-    """Whole-word mentions by joining word n-grams with names: any number of entities."""
+    """Whole-word mentions by joining word n-grams with names: any number of entities.  Only n-grams of as many words as
+    some name has are made, and they are not moved where the names can be broadcast."""
     names = entities.select("id", "kind", F.explode(F.concat(F.array(F.struct(F.col("label").alias("n"), F.lit(1.0).alias("c"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("n"), F.lit(0.95).alias("c"))))).alias("x"))
     names = names.select(F.lower("x.n").alias("gram"), F.col("id").cast("string").alias("entity_id"), "kind", F.col("x.c").alias("confidence"))
+    names = small(names)
+    sizes = sorted(r[0] for r in names.select(F.size(F.split("gram", " ")).alias("n")).where(F.col("n").between(1, most_words)).distinct().collect())
     words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}'-]+"), lambda w: w != "").alias("w"))
 
     def grams(n: int):
+        if n == 1:
+            return words.select("doc_id", F.posexplode("w").alias("start", "gram")).select("doc_id", F.struct("start", (F.col("start") + 1).alias("end"), "gram").alias("g"))
         places = F.sequence(F.lit(1), F.size("w") - n + 1)
         return words.where(F.size("w") >= n).select("doc_id", F.explode(F.transform(places, lambda i: F.struct((i - 1).cast("int").alias("start"), (i + n - 1).cast("int").alias("end"), F.array_join(F.slice("w", i, n), " ").alias("gram")))).alias("g"))
 
-    every = grams(1)
-    for n in range(2, most_words + 1):
-        every = every.unionByName(grams(n))
+    every = None
+    for n in sizes or [1]:
+        every = grams(n) if every is None else every.unionByName(grams(n))
     return every.select("doc_id", "g.*").join(names, "gram").select("doc_id", "start", "end", "entity_id", "kind", "confidence")
 
 
@@ -206,6 +211,15 @@ def quads(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return _with_entities(docs, entities, S.quads, {"subject": "string", "verb": "string", "object": "string", "location": "string", "time": "string", "manner": "string"})
 
 
+def facts(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, subject, verb, object): the quads, and the state changes with the verb STATE, in one pass over the texts."""
+    def run(text, found):
+        states = [{"subject": s["entity"], "verb": "STATE", "object": s["state"]} for s in S.state_changes(text, found)]
+        return S.quads(text, found) + states
+
+    return _with_entities(docs, entities, run, {"subject": "string", "verb": "string", "object": "string"})
+
+
 def svo_relations(docs: DataFrame, entities: DataFrame, rules: list[tuple], token_limit: int = 12) -> DataFrame:
     return _with_entities(docs, entities, lambda t, e: S.svo_pairs(t, e, rules, token_limit), {"subject": "string", "relation": "string", "object": "string", "confidence": "double"})
 
