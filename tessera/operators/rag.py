@@ -98,7 +98,8 @@ def build_tree(chunks: DataFrame, target: int = 5, group: str = "group_id", chun
     ceil(n / target), two at least, until one node is left; a parent is its children's mean.
 
     One group's tree is built in one task: group by note, folder or any key
-    whose chunks fit a worker.
+    whose chunks fit a worker.  Its memory grows with the group, its time with
+    the square.  To search a tree more than once, write it first.
     """
     kind = chunks.schema[group].dataType.simpleString()
 
@@ -109,14 +110,15 @@ def build_tree(chunks: DataFrame, target: int = 5, group: str = "group_id", chun
         while True:
             n = len(ids)
             if n == 1:
-                rows.append((key, ids[0], level, None, m[0].tolist()))
+                rows.append((key, ids[0], level, None, m[0]))
                 break
             k = 1 if n <= target else min(max(2, -(-n // target)), n - 1)
             label = C.cosine_kmeans(m, k) if k > 1 else np.zeros(n, int)
-            used = sorted(set(label.tolist()))
+            used, place = np.unique(label, return_inverse=True)
+            used = used.tolist()
             names = {c: f"{key}:L{level + 1}:{i}" for i, c in enumerate(used)}
-            rows += [(key, i, level, names[int(c)], v.tolist()) for i, c, v in zip(ids, label, m, strict=True)]
-            m, ids, level = np.vstack([m[label == c].mean(0) for c in used]), [names[c] for c in used], level + 1
+            rows += [(key, i, level, names[int(c)], v) for i, c, v in zip(ids, label, m, strict=True)]
+            m, ids, level = C.cluster_means(m, place, len(used))[0], [names[c] for c in used], level + 1
         return pd.DataFrame(rows, columns=[group, "node_id", "level", "parent_id", "embedding"])
 
     return chunks.select(group, chunk, "embedding").groupBy(group).applyInPandas(run, f"{group} {kind}, node_id string, level int, parent_id string, embedding array<double>")
