@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ranking as R
 from tessera.functions.text import tokenize
+from tessera.operators.traversal import _cut
 
 
 def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segments: int = 16, tokenizer=tokenize, doc_length: bool = False) -> DataFrame:
@@ -29,6 +30,21 @@ def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segment
         F.count("*").alias("tf"), F.bit_or(R.segment_bit(F.col("pos"), F.col("field_length"), segments)).alias("mask"))
 
 
+def term_postings(docs: DataFrame, key: str, fields: dict[str, Column], terms: list[str], segments: int = 16, tokenizer=tokenize) -> tuple[DataFrame, DataFrame]:
+    """(postings of ``terms`` alone, field lengths of all documents): what a search of texts without an index reads.
+
+    One pass over the texts; the lengths and the places of the terms are
+    written, and all that a search works out comes from there.
+    """
+    arms = F.array(*[F.struct(F.lit(n).alias("field"), tokenizer(c).alias("tokens")) for n, c in fields.items()])
+    places = F.filter(F.transform("f.tokens", lambda w, i: F.struct(i.alias("pos"), w.alias("term"))), lambda x: x["term"].isin(terms))
+    rows = docs.select(key, F.explode(arms).alias("f")).select(key, "f.field", F.size("f.tokens").alias("field_length"), places.alias("hits"))
+    held = _cut(rows.where("field_length > 0"))
+    postings = held.select(key, "field", "field_length", F.inline("hits")).groupBy(key, "field", "term", "field_length").agg(
+        F.count("*").alias("tf"), F.bit_or(R.segment_bit(F.col("pos"), F.col("field_length"), segments)).alias("mask"))
+    return postings, held.select(key, "field", "field_length")
+
+
 def field_lengths(docs: DataFrame, key: str, fields: dict[str, Column], tokenizer=tokenize) -> DataFrame:
     """(key, field, field_length) of fields with a token, without exploding them: what a search needs of the whole corpus."""
     sizes = F.array(*[F.struct(F.lit(n).alias("field"), F.size(tokenizer(c)).alias("field_length")) for n, c in fields.items()])
