@@ -18,12 +18,21 @@ from tessera.operators.traversal import _cut
 
 
 def build_postings(docs: DataFrame, key: str, fields: dict[str, Column], segments: int = 16, tokenizer=tokenize, doc_length: bool = False) -> DataFrame:
-    """(key, field, term, tf, field_length, mask): a row per document, field and term; with ``doc_length`` the document's tokens too."""
-    whole = [sum((F.size(tokenizer(c)) for c in fields.values()), F.lit(0)).cast("long").alias("doc_length")] if doc_length else []
-    arms = None
-    for name, text in fields.items():
-        arm = docs.select(F.col(key), F.lit(name).alias("field"), tokenizer(text).alias("tokens"), *whole)
-        arms = arm if arms is None else arms.unionByName(arm)
+    """(key, field, term, tf, field_length, mask): a row per document, field and term; with ``doc_length`` the document's tokens too.
+
+    With ``doc_length``, for an index that is written whole, the texts are dealt by key and their postings counted where
+    they are, since postings are several times as large as the texts.
+    """
+    if doc_length:
+        found = docs.repartition(key).select(key, F.array(*map(tokenizer, fields.values())).alias("ts"))
+        whole = F.aggregate("ts", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("doc_length")
+        named = F.arrays_zip(F.array(*map(F.lit, fields)).alias("field"), F.col("ts").alias("tokens"))
+        arms = found.select(key, whole, F.explode(named).alias("f")).select(key, "doc_length", F.col("f.field").alias("field"), F.col("f.tokens").alias("tokens"))
+    else:
+        arms = None
+        for name, text in fields.items():
+            arm = docs.select(F.col(key), F.lit(name).alias("field"), tokenizer(text).alias("tokens"))
+            arms = arm if arms is None else arms.unionByName(arm)
     more = ["doc_length"] if doc_length else []
     rows = arms.select(key, "field", F.size("tokens").alias("field_length"), *more, F.posexplode("tokens").alias("pos", "term"))
     return rows.groupBy(key, "field", "term", "field_length", *more).agg(
@@ -62,7 +71,11 @@ def remove_documents(postings: DataFrame, ids: DataFrame, key: str) -> DataFrame
 
 def term_stats(postings: DataFrame, key: str) -> DataFrame:
     """(term, df, entropy): document frequency, and the entropy of the term's counts."""
-    per_doc = postings.groupBy("term", key).agg(F.sum("tf").alias("tf"))
+    return stats_of_counts(postings.groupBy("term", key).agg(F.sum("tf").alias("tf")))
+
+
+def stats_of_counts(per_doc: DataFrame) -> DataFrame:
+    """(term, df, entropy) of the counts (term, tf) of each document and term."""
     return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum(R.entropy_part(F.col("tf"))).alias("entropy"))
 
 

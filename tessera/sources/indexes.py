@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import ranking as R
@@ -31,13 +31,20 @@ class TextIndex:
 
 
 def save_text_index(docs: DataFrame, key: str, fields: dict[str, Column], path: str, files: int | None = None) -> None:
-    """Write the index of ``docs`` under ``path``: one pass over the texts, and one over the postings for the statistics."""
+    """Write the index of ``docs`` under ``path``: the texts are moved once, their postings once, by range of term.
+
+    ``doc_tf``, the count in all fields, stands on one posting of a document and term, so that the statistics need no
+    grouping by document.
+    """
     spark = docs.sparkSession
     ordered = R.build_postings(docs, key, fields, doc_length=True)
     ordered = ordered.repartitionByRange(files, "term") if files else ordered.repartitionByRange("term")
+    pair = Window.partitionBy("term", key)
+    first = F.row_number().over(pair.orderBy("field", "field_length")) == 1
+    ordered = ordered.withColumn("doc_tf", F.when(first, F.sum("tf").over(pair)))
     ordered.sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.page.size", 64 << 10).parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    R.term_stats(postings, key).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    R.stats_of_counts(postings.where("doc_tf is not null").select("term", F.col("doc_tf").alias("tf"))).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     R.corpus_stats(R.field_lengths(docs, key, fields), key).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
